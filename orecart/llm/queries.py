@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orecart.llm import ann, bpe, langid, minhash, packing, toxicity, urls, warc
+from orecart.llm import ann, bpe, langid, minhash, neighbours, packing, toxicity, urls, warc
 from orecart.llm.common import Scratch
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -32,6 +32,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(read(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.filter("vec_id % 20 = 0"), 20)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_neighbours": op5_neighbours,
     "op6_ann": op6_ann,
     "op7_minhash": op7_minhash,
     "op8_url_rules": op8_url_rules,
