@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +112,25 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, rounds:
         raise RuntimeError("components did not settle; raise rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+
+
+def streamed(key: list[str], each) -> object:
+    """A mapInPandas function over rows sorted by `key`: `each` gets whole runs of keys, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            b = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if b.empty:
+                continue
+            same = np.ones(len(b), bool)
+            for c in key:
+                same &= (b[c] == b[c].iloc[-1]).to_numpy()
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield from each(b.iloc[:cut].reset_index(drop=True))
+            held = b.iloc[cut:]
+        if held is not None and len(held):
+            yield from each(held.reset_index(drop=True))
+
+    return run

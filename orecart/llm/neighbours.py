@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orecart.llm.common import Scratch, connected_components
+from orecart.llm.common import Scratch, connected_components, streamed
 
 LIST, TABLES, BITS, AHEAD, ROUNDS = 12, 8, 16, 4, 2
 BLOCK, AUDIT, TARGET, TRIES, SEED = 1024, 96, 0.99, 3, 5
@@ -77,28 +77,6 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
-def _streamed(key: list[str], each) -> object:
-    """A mapInPandas function over rows sorted by `key`: `each` gets whole runs of keys, a batch at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            b = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if b.empty:
-                continue
-            same = np.ones(len(b), bool)
-            for c in key:
-                same &= (b[c] == b[c].iloc[-1]).to_numpy()
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield from each(b.iloc[:cut].reset_index(drop=True))
-            held = b.iloc[cut:]
-        if held is not None and len(held):
-            yield from each(held.reset_index(drop=True))
-
-    return run
-
-
 def _descend(graph: DataFrame, vectors: DataFrame, k: int, round_: int) -> DataFrame:
     """One round: what local joins find, merged into the lists."""
     worst = graph.groupBy("v").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
@@ -132,7 +110,7 @@ def _descend(graph: DataFrame, vectors: DataFrame, k: int, round_: int) -> DataF
                 yield pd.DataFrame({"v": np.r_[first[better], second[other]], "u": np.r_[second[better], first[other]], "sim": np.r_[s[better], s[other]]})
 
     dealt = meet.join(members, "m").select("x", "m", "h", "worst", "fresh").repartition("x").sortWithinPartitions("x")
-    found = dealt.mapInPandas(_streamed(["x"], local_join), "v long, u long, sim float")
+    found = dealt.mapInPandas(streamed(["x"], local_join), "v long, u long, sim float")
     return _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
 
 
@@ -173,7 +151,7 @@ def _within_components(parts: DataFrame, vectors: DataFrame, threshold: float) -
         if out:
             yield pd.DataFrame({"cid": np.concatenate([o[0] for o in out]), "others": np.concatenate([o[1] for o in out])})
 
-    return dealt.mapInPandas(_streamed(["component", "i", "j"], count), "cid long, others long").groupBy("cid").agg(F.sum("others").alias("others"))
+    return dealt.mapInPandas(streamed(["component", "i", "j"], count), "cid long, others long").groupBy("cid").agg(F.sum("others").alias("others"))
 
 
 def _recall(vectors: DataFrame, found: DataFrame, threshold: float) -> float:
