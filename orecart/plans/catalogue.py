@@ -1,4 +1,292 @@
-"""Queries over the test tables and the SQL they are held against."""
+"""Queries over the test tables and the SQL they are held against. Doubles are rounded alike on both sides."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orecart.functions import text as tx
+from orecart.functions import vectors as vx
+from orecart.operators import chunks, clusters, embedding, retrieval, symbols, usage
+from orecart.sources import store
+
+PHRASE = "of the"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def first_vector(spark: SparkSession, d: str) -> list[float]:
+    return read(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+L2 = "sqrt(list_sum(list_transform(list_zip(e.embedding::double[], q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+Q0 = "(select embedding::double[] as v from embeddings where vec_id = 0)"
+COS = "list_cosine_similarity({a}::double[], {b}::double[])"
+
+
+@query(f"select vec_id, round({L2}, 6) as distance from embeddings e, {Q0} q order by {L2}, vec_id limit 10")
+def knn_l2_top10(spark, d):
+    return retrieval.knn(read(spark, d, "embeddings"), first_vector(spark, d), 10, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"select vec_id, round(1 - {COS.format(a='e.embedding', b='q.v')}, 6) as distance from embeddings e, {Q0} q order by 1 - {COS.format(a='e.embedding', b='q.v')}, vec_id limit 10")
+def cosine_top10(spark, d):
+    q = F.array(*map(F.lit, map(float, first_vector(spark, d))))
+    far = read(spark, d, "embeddings").select("vec_id", vx.cosine_distance(F.col("embedding"), q).alias("distance"))
+    return far.orderBy("distance", "vec_id").limit(10).withColumn("distance", F.round("distance", 6))
+
+
+PAIRS = f"select a.vec_id as src, b.vec_id as dst, {COS.format(a='a.embedding', b='b.embedding')} as weight from embeddings a join embeddings b on a.vec_id < b.vec_id"
+
+
+@query(f"select src, dst, round(weight, 6) as weight from ({PAIRS}) where weight > 0.35")
+def similarity_pairs(spark, d):
+    return clusters.similar_pairs(read(spark, d, "embeddings"), "vec_id", "embedding").withColumn("weight", F.round("weight", 6))
+
+
+MEANS = "select label, pos, avg(x) as m from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from embeddings) group by label, pos"
+
+
+@query(f"select label, (pos - 1)::int as pos, round(m, 6) as mean from ({MEANS})")
+def centroid_by_label(spark, d):
+    m = vx.mean_vectors(read(spark, d, "embeddings"), ["label"], "embedding")
+    return m.select("label", F.posexplode("mean").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+CENTRE = f"with c as (select label, list(m order by pos) as v from ({MEANS}) group by label), f as (select e.label, vec_id, 1 - {COS.format(a='e.embedding', b='c.v')} as d from embeddings e join c using (label))"
+
+
+@query(f"{CENTRE} select label, vec_id, round(d, 6) as distance from (select *, row_number() over (partition by label order by d, vec_id) as r from f) where r = 1")
+def centroid_representative(spark, d):
+    return clusters.representatives(read(spark, d, "embeddings"), "label", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"with c as (select label, list(m order by pos) as v from ({MEANS}) group by label) select label, round(list_distance(c.v, q.v), 6) as distance from c, {Q0} q order by list_distance(c.v, q.v), label limit 1")
+def nearest_centroid(spark, d):
+    m = vx.mean_vectors(read(spark, d, "embeddings"), ["label"], "embedding")
+    return retrieval.knn(m, first_vector(spark, d), 1, "label", "mean").withColumn("distance", F.round("distance", 6))
+
+
+BM25 = f"""
+    t as (select doc_id, list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as tok from documents),
+    c as (select doc_id, len(tok) as d, len(list_filter(range(1, len(tok)), lambda i: tok[i] = '{PHRASE.split()[0]}' and tok[i + 1] = '{PHRASE.split()[1]}')) as f from t),
+    s as (select count(*) as n, count(*) filter (f > 0) as h, avg(d) as a from c),
+    b as (select doc_id, -(case when ln((n - h + 0.5) / (h + 0.5)) <= 0 then 1e-6 else ln((n - h + 0.5) / (h + 0.5)) end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a)) as bm25 from c, s where f > 0)"""
+
+
+@query(f"with {BM25} select doc_id, round(bm25, 6) as bm25 from b")
+def bm25_phrase(spark, d):
+    return retrieval.bm25_phrase(read(spark, d, "documents"), PHRASE, "doc_id", "text").withColumn("bm25", F.round("bm25", 6))
+
+
+@query(f"""with {BM25}, k as (select vec_id as doc_id, row_number() over (order by {L2}, vec_id) as ra from embeddings e, {Q0} q qualify ra <= 10),
+    l as (select doc_id, row_number() over (order by bm25, doc_id) as rb from b qualify rb <= 10)
+    select doc_id, round(coalesce(1 / (60 + ra), 0) + coalesce(1 / (60 + rb), 0), 9) as score from k full join l using (doc_id)
+    order by coalesce(1 / (60 + ra), 0) + coalesce(1 / (60 + rb), 0) desc, ra nulls last, rb nulls last, doc_id limit 10""")
+def hybrid_rrf(spark, d):
+    near = retrieval.knn(read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), first_vector(spark, d), 10, "doc_id", "embedding")
+    words = retrieval.bm25_phrase(read(spark, d, "documents"), PHRASE, "doc_id", "text", 10)
+    return retrieval.hybrid(near, words, "doc_id", 10).withColumn("score", F.round("score", 9))
+
+
+LINES = "(select doc_id as file, unnest(string_split(rtrim_nl, chr(10))) as content, generate_subscripts(string_split(rtrim_nl, chr(10)), 1) - 1 as start_line from (select doc_id, regexp_replace(text, '\\n$', '') as rtrim_nl from documents))"
+
+
+def doc_lines(spark, d):
+    return chunks.line_chunks(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"select file, start_line, start_line + 1 as end_line, content from {LINES}")
+def line_chunks(spark, d):
+    return doc_lines(spark, d)
+
+
+@query("select 'src/' || lang || '/doc_' || doc_id || '.txt' as file, 0 as start_line, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as end_line, text as content from documents")
+def file_chunks(spark, d):
+    docs = read(spark, d, "documents")
+    path = F.format_string("src/%s/doc_%d.txt", "lang", "doc_id")
+    return docs.select(path.alias("file"), F.lit(0).alias("start_line"), F.size(tx.lines(F.col("text"))).alias("end_line"), F.col("text").alias("content"))
+
+
+@query(f"select file, start_line, start_line + 1 as end_line, content from {LINES} where file = 1 and start_line = 1")
+def get_exact(spark, d):
+    return chunks.exact(doc_lines(spark, d), 1, 1, 2)
+
+
+@query(f"select file, start_line, start_line + 1 as end_line, content from {LINES} where start_line < 5 and start_line + 1 > 2")
+def get_overlap(spark, d):
+    return chunks.overlapping(doc_lines(spark, d), F.col("file"), 2, 5)
+
+
+@query(f"select file, min(start_line) as start_line, max(start_line) + 1 as end_line, string_agg(content, chr(10) order by start_line) as content from {LINES} where start_line < 5 and start_line + 1 > 2 group by file")
+def get_merged(spark, d):
+    return chunks.merged(chunks.overlapping(doc_lines(spark, d), F.col("file"), 2, 5))
+
+
+@query("""select page_id, case when regexp_extract(url, '^(.*)/[^/]*$', 1) = '' then '.' else regexp_extract(url, '^(.*)/[^/]*$', 1) end as dir,
+    regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\\.[^.]*$', '\\1') as stem,
+    case lower(list_last(string_split(url, '.'))) when 'rs' then 'rust' when 'py' then 'python' when 'go' then 'go' when 'java' then 'java' when 'c' then 'c' when 'h' then 'c' when 'js' then 'javascript' when 'ts' then 'typescript' end as language from pages""")
+def path_parts(spark, d):
+    return read(spark, d, "pages").select("page_id", tx.file_dir(F.col("url")).alias("dir"), tx.file_stem(F.col("url")).alias("stem"), tx.detect_language(F.col("url")).alias("language"))
+
+
+@query("select p_partkey, substr(regexp_replace(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) as slug from part")
+def slugs(spark, d):
+    return read(spark, d, "part").select("p_partkey", tx.slugify(F.col("p_name")).alias("slug"))
+
+
+@query("select distinct page_id, n as name from (select page_id, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*) *(?:\\(|::)', 1)) as n from pages) where length(n) > 2")
+def call_references(spark, d):
+    pages = read(spark, d, "pages")
+    return pages.select("page_id", F.explode(tx.call_names(F.col("html"))).alias("name")).filter(F.length("name") > 2).distinct()
+
+
+def code_files(spark, d):
+    """One file a supplier, in its nation's folder: it defines a function and calls those that share a part with it."""
+    s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    supply = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("k")).distinct()
+    calls = supply.join(supply.withColumnRenamed("k", "o"), "p").filter("k <> o").select("k", "o").distinct()
+    body = calls.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("  fun_%d(1)", "o"))), "\n").alias("body"))
+    text = F.concat(F.format_string("def fun_%d():\n", "s_suppkey"), F.coalesce("body", F.lit("  pass")))
+    out = s.join(body, F.col("s_suppkey") == F.col("k"), "left")
+    return out.select(F.format_string("n%d/s%d.py", "s_nationkey", "s_suppkey").alias("file"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("subsystem"), text.alias("text"))
+
+
+CODE = """s as (select s_suppkey as k, 'n' || s_nationkey as subsystem, 'n' || s_nationkey || '/s' || s_suppkey || '.py' as file from supplier),
+    sp as (select distinct l_partkey as p, l_suppkey as k from lineitem),
+    e as (select distinct a.file as from_file, b.file as to_file, a.subsystem as sf, b.subsystem as st, 'fun_' || b.k as name
+          from sp x join sp y on x.p = y.p and x.k <> y.k join s a on a.k = x.k join s b on b.k = y.k)"""
+
+
+@query(f"with {CODE} select from_file, to_file, name as via from e")
+def symbol_edges(spark, d):
+    return symbols.symbol_edges(code_files(spark, d)).withColumn("via", F.array_join("via", ","))
+
+
+@query(f"with {CODE} select st as subsystem, from_file, to_file, name as via from e where sf <> st")
+def edges_into(spark, d):
+    files = code_files(spark, d)
+    return symbols.edges_into(symbols.symbol_edges(files), files.select("subsystem", "file")).withColumn("via", F.array_join("via", ","))
+
+
+@query(f"with {CODE} select st as subsystem, from_file, min(to_file) as to_file from e where sf <> st group by st, from_file")
+def entry_points(spark, d):
+    files = code_files(spark, d)
+    return symbols.entry_points(symbols.edges_into(symbols.symbol_edges(files), files.select("subsystem", "file"))).drop("via")
+
+
+@query(f"with {CODE} select subsystem, min(regexp_replace(file, '\\.py$', '')) || ': ' || array_to_string(list_slice(list('fun_' || k order by file), 1, 7), ', ') as description from s group by subsystem")
+def subsystem_description(spark, d):
+    files = code_files(spark, d)
+    centre = files.groupBy("subsystem").agg(F.min("file").alias("file"))
+    made = files.select("file", F.lit(0).alias("start_line"), F.col("text").alias("content"))
+    return clusters.descriptions(made, files.select("subsystem", "file"), centre)
+
+
+def session_lines(spark, d):
+    """Assistant turns as JSON lines, one token a character."""
+    c = read(spark, d, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.struct(F.length("text").cast("long").alias("input_tokens")).alias("usage")).alias("message")))
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"), line.alias("line"))
+
+
+def event_turns(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.floor("value").cast("long").alias("tokens"), "ts", "event_id").filter("tokens > 0")
+    return e.withColumn("turn_no", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")).cast("long")).select("session_id", "turn_no", "tokens")
+
+
+EVENTS = "select user_id as session_id, floor(value)::bigint as tokens, row_number() over (partition by user_id order by ts, event_id) as turn_no, count(*) over (partition by user_id) as n from events where floor(value) > 0"
+CONVERSED = "select conv_id as session_id, length(text) as tokens, row_number() over (partition by conv_id order by turn) as turn_no, count(*) over (partition by conv_id) as n from conversations where role = 'assistant' and length(text) > 0"
+SESSIONS = """select session_id, count(*) as n_turns, sum(tokens)::bigint as total, round(avg(tokens) filter (turn_no <= 5), 6) as baseline, round(avg(tokens) filter (n - turn_no < 3), 6) as latest,
+    round(avg(tokens) filter (n - turn_no < 3) / avg(tokens) filter (turn_no <= 5), 6) as waste from ({}) group by session_id"""
+
+
+def rounded_sessions(t):
+    return usage.sessions(t).select("session_id", "n_turns", "total", *[F.round(c, 6).alias(c) for c in ("baseline", "latest", "waste")])
+
+
+@query(SESSIONS.format(CONVERSED))
+def session_usage(spark, d):
+    return rounded_sessions(usage.turns(session_lines(spark, d)))
+
+
+@query(SESSIONS.format(EVENTS))
+def session_usage_events(spark, d):
+    return rounded_sessions(event_turns(spark, d))
+
+
+@query(f"select session_id, turn_no, tokens from ({EVENTS}) where turn_no > 5 qualify row_number() over (partition by session_id order by tokens desc, turn_no desc) = 1")
+def session_spike(spark, d):
+    return usage.spikes(event_turns(spark, d))
+
+
+@query(f"select session_id, string_agg(substr('{usage.GLYPHS}', (floor(tokens / m * 7 + 0.5) + 1)::int, 1), '' order by turn_no) as bar from (select *, max(tokens) over (partition by session_id) as m from ({EVENTS})) group by session_id")
+def session_sparkline(spark, d):
+    return usage.sparklines(event_turns(spark, d))
+
+
+@query("select user_id as session_id, max(ts) as last from events group by user_id order by last desc, user_id limit 5")
+def latest_sessions(spark, d):
+    return read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "session_id").limit(5)
+
+
+@query("select event_id, json_extract(props, '$.k')::bigint as k from events")
+def json_props(spark, d):
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+def snapshots(spark, d):
+    """Yesterday's documents lack every tenth one; today's lack every seventh, and every fifth has changed."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return docs.filter("path % 10 <> 3"), docs.filter("path % 7 <> 2").withColumn("content", F.when(F.col("path") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+
+
+@query("select case when doc_id % 10 = 3 then 'A' when doc_id % 7 = 2 then 'D' else 'M' end as op, doc_id as path from documents where (doc_id % 10 = 3) <> (doc_id % 7 = 2) or (doc_id % 10 <> 3 and doc_id % 7 <> 2 and doc_id % 5 = 0)")
+def change_feed(spark, d):
+    return store.diff(*snapshots(spark, d))
+
+
+@query("select doc_id as path, case when doc_id % 5 = 0 then text || '!' else text end as content from documents where doc_id % 7 <> 2")
+def incremental_merge(spark, d):
+    old, new = snapshots(spark, d)
+    changes = store.diff(old, new)
+    return store.merge(old, changes, new.join(changes.select("path"), "path", "left_semi"))
+
+
+@query(f"select count(distinct file) as files, count(*) as chunks from {LINES}")
+def index_stats(spark, d):
+    return doc_lines(spark, d).agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("chunks"))
+
+
+@query("select doc_id, 384 as dim, round(sum(v), 4) as total from (select doc_id, unnest([(((i * 0.001) % 1)::float)::double for i in range(384)]) as v from documents) group by doc_id")
+def embed_placeholder(spark, d):
+    v = read(spark, d, "documents").select("doc_id", embedding.placeholder().alias("v"))
+    return v.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query()
+def communities(spark, d):
+    rows = read(spark, d, "embeddings")
+    return clusters.communities(clusters.similar_pairs(rows, "vec_id", "embedding"), rows, "vec_id")
+
+
+@query()
+def chunk_code(spark, d):
+    files = code_files(spark, d)
+    return chunks.chunked(files.select("file", tx.detect_language(F.col("file")).alias("language"), "text"))
