@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None], seconds: int | None = None):
     """Stream new JSONL files to `sink(batch, id)` as (session_id, line_no, line); without an interval, what is there, then stop."""
-    got = spark.readStream.option("pathGlobFilter", "*.jsonl").text(folder).withColumns(
-        {"session_id": F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1), "line_no": F.monotonically_increasing_id()}
-    )
-    writer = got.withColumnRenamed("value", "line").writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    whole = spark.readStream.option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(folder)
+    got = whole.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("session_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    writer = got.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
