@@ -6,10 +6,11 @@ that is fixed for each bucket, so small sets have full sketches (as in optimal d
 registers propose pairs; the share of equal registers, less what chance equality accounts for, estimates Jaccard similarity; pairs that pass
 are confirmed on whole shingle sets.
 
-Documents with equal sets are one class. Within a band's bucket, classes are compared with pivots, not with each other: first the
-least class, then, among classes that are still in different components, a growing number of pivots a round, until every bucket
-holds one component or every pair of classes in different components has been compared. So no pair is lost, a bucket of true copies
-costs as many comparisons as it has members, and only classes that stay apart meet more than once.
+Documents with equal sets are one class. Each class of a band's bucket is first compared with the bucket's least class, so a bucket of
+true copies costs as many comparisons as it has members. Buckets whose classes are then in one component are finished. In the others
+classes of different components are compared by sketch, in blocks of bounded size that emit only likely pairs, each in the first
+bucket it shares; these are confirmed in blocks too, where a set is sent once however many of its pairs are there. No pair that shares a
+bucket is left out unless its classes are already in one component.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orecart.llm.common import Scratch, connected_components, lowered_words, per_worker
+from orecart.llm.common import Scratch, connected_components, lowered_words, per_worker, streamed
 
-BUCKET_BITS, MANTISSA, BANDS, ROWS = 7, 8, 32, 4
+BUCKET_BITS, MANTISSA, BANDS, ROWS = 7, 8, 20, 4
 BUCKETS = 1 << BUCKET_BITS
 MEMO = 400_000
+#: Classes in a block when the members of a bucket that stayed apart are compared.
+BLOCK = 512
 #: Standard errors of the estimate that a pair may fall short of the threshold by and still be confirmed on whole sets.
 SLACK = 4.0
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -125,7 +128,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 regs = sketch(s)
                 keys = np.full(BANDS, 0, np.uint64)
                 for i in range(ROWS):
-                    keys = mix(keys ^ regs.reshape(BANDS, ROWS)[:, i].astype(np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
+                    keys = mix(keys ^ regs[: BANDS * ROWS].reshape(BANDS, ROWS)[:, i].astype(np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
                 with np.errstate(over="ignore"):
                     rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), regs.tobytes(), keys.astype(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "regs", "bands"]).astype({"d1": "Int64", "d2": "Int64"})
@@ -166,50 +169,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
         named.join(classes.withColumnRenamed("n", "n_shingles"), ["n_shingles", "d1", "d2"]).filter("doc_id = cid").groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
         "classes",
     )
-    exploded = held.select("cid", "n", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    active = scratch.write(exploded.join(shared, "bucket"), "active-0")
-    classes_held = scratch.write(classes.select("cid", "n", "d1"), "class-digests")
-    links, parts, tested = None, None, None
+    exploded = held.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
+    first = exploded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    active = scratch.write(exploded.join(first, "bucket").select("band", "bucket", "cid", "n", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n")), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("binary").alias("data"))
-    sets = None
+    digests = scratch.write(classes.select("cid", "n", "d1"), "digests")
     ratio = percent / 100
-    pivots, round_ = 1, 0
-    while True:
-        if parts is None:
-            now = active.withColumn("part", F.col("cid"))
-        else:
-            now = active.join(parts, active.cid == parts.node, "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("part"))
-            # a bucket whose classes are in one component has nothing left to compare
-            open_ = now.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("bucket")
-            now = scratch.write(now.join(open_, "bucket"), f"open-{round_}")
-            if now.isEmpty():
-                break
-        slot = F.pmod(F.xxhash64("cid", F.lit(round_)), F.lit(pivots))
-        chosen = now.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("cid", "n", "part")).alias("p")).select("bucket", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.part").alias("p_part"))
-        chosen = scratch.write(chosen, f"pivots-{round_}") if round_ else chosen
-        pairs = now.join(chosen, "bucket").filter((F.col("cid") != F.col("p_cid")) & (F.col("part") != F.col("p_part")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
-        pairs = pairs.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        regs_a = held.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("regs").alias("a_regs"))
-        regs_b = held.select(F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("regs").alias("b_regs"))
-        likely = scratch.write(_likely(pairs.join(regs_a, "a").join(regs_b, "b"), ratio), f"likely-{round_}")
-        wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("cid"), "cid", "left_anti")
-        more = scratch.write(_sets(scratch.write(wanted.join(classes_held, "cid"), f"wanted-{round_}"), texts, size), f"sets-{round_}")
-        sets = more if sets is None else sets.unionByName(more)
-        found = scratch.write(_confirmed(likely, sets, percent), f"links-{round_}")
-        links = found if links is None else links.unionByName(found)
-        tested = likely.select("a", "b") if tested is None else tested.unionByName(likely.select("a", "b"))
-        parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"parts-{round_}")
-        parts = scratch.write(parts, f"parts-{round_}")
-        done = chosen.select("bucket", F.col("p_cid").alias("cid"))
-        active = now.select("bucket", "cid", "n").join(done, ["bucket", "cid"], "left_anti")
-        round_ += 1
-        pivots = 4**round_
-    component = parts.select(F.col("node").alias("cid"), "component") if parts is not None else None
+
+    star = active.filter((F.col("cid") != F.col("p_cid")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
+    star = star.select(F.col("p_cid").alias("a"), F.col("cid").alias("b")).distinct()
+    a, b = (held.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("regs").alias(f"{c}_regs")) for c in ("a", "b"))
+    likely = scratch.write(_likely(star.join(a, "a").join(b, "b"), ratio).withColumn("bucket", F.col("a")), "likely-star")
+    sets = scratch.write(_sets(_ids(likely).join(digests, "cid"), texts, size), "sets-star")
+    links = scratch.write(_confirmed(likely, sets, percent), "links-star")
+    parts = scratch.write(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, "star"), "parts-star")
+
+    # first the most similar pair of each two components a block holds, which joins most that can be joined; then all pairs still apart
+    for step in ("best", "rest"):
+        now = active.select("band", "bucket", "cid", "p_cid", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
+        spread = now.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi and members > 2")
+        apart = scratch.write(now.join(spread.select("bucket", "members"), "bucket").filter("cid <> p_cid").join(held.select("cid", "regs"), "cid"), f"apart-{step}")
+        likely = scratch.write(_likely_apart(apart, ratio, percent, step == "best"), f"likely-{step}")
+        wanted = _ids(likely).join(sets.select("cid"), "cid", "left_anti").join(digests, "cid")
+        sets = sets.unionByName(scratch.write(_sets(wanted, texts, size), f"sets-{step}"))
+        links = links.unionByName(scratch.write(_confirmed(likely, sets, percent), f"links-{step}"))
+        parts = scratch.write(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"all-{step}"), f"parts-{step}")
+        scratch.drop(f"apart-{step}")
+    component = parts.select(F.col("node").alias("cid"), "component")
     by_class = classes.join(component, "cid", "left").select(F.col("n").alias("n_shingles"), "d1", "d2", F.coalesce("component", "cid").alias("class_component"))
     out = all_.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["n_shingles", "d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -231,16 +217,73 @@ def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return texts.join(wanted, "cid").dropDuplicates(["cid", "data"]).mapInPandas(run, "cid long, shingles binary")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def _dealt(members: DataFrame, size: str, block: int) -> DataFrame:
+    """Rows of a bucket dealt to the pairs (i, j) of its blocks, i <= j."""
+    out = members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    return out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _likely_apart(members: DataFrame, threshold: float, percent: int, best: bool) -> DataFrame:
+    """(bucket, a, b): pairs of a bucket in different components that may reach the threshold, where they share no earlier band.
+
+    With `best` only the most similar pair of each two components in a block.
+    """
+
+    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = []
+        for (bucket, i, j), own in rows.groupby(["bucket", "i", "j"], sort=False):
+            regs = np.frombuffer(b"".join(own["regs"]), np.uint16).reshape(len(own), -1)
+            bands = regs[:, : BANDS * ROWS].reshape(len(own), BANDS, ROWS)
+            ids, n, part, side, band = own["cid"].to_numpy(), own["n"].to_numpy(), own["part"].to_numpy(), own["own"].to_numpy(), int(own["band"].iloc[0])
+            second = np.flatnonzero(side == j)
+            for x in np.flatnonzero(side == i):
+                y = second[second > x] if i == j else second
+                y = y[part[y] != part[x]]
+                y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+                if not len(y):
+                    continue
+                got = estimate(regs[x][None], regs[y], n[x], n[y])
+                ok = (got >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / BUCKETS)) & ~(bands[x, :band][None] == bands[y, :band]).all(2).any(1)
+                if ok.any():
+                    y = y[ok]
+                    out.append(pd.DataFrame({"bucket": bucket, "a": ids[x], "b": ids[y], "lo": np.minimum(part[x], part[y]), "hi": np.maximum(part[x], part[y]), "got": got[ok]}))
+            if best and out and out[-1]["bucket"].iloc[0] == bucket:
+                mine = [o for o in out if "got" in o]
+                out = [o for o in out if "got" not in o]
+                out.append(pd.concat(mine).sort_values(["got", "a", "b"], ascending=[False, True, True]).drop_duplicates(["lo", "hi"])[["bucket", "a", "b"]])
+        if out:
+            yield pd.concat([o[["bucket", "a", "b"]] for o in out])
+
+    found = _dealt(members, "members", BLOCK).mapInPandas(streamed(["bucket", "i", "j"], compare), "bucket long, a long, b long")
+    return found.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    x = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long")
+    """The pairs (bucket, a, b) that whole sets confirm; any grouping of pairs may stand for the bucket. A task has a bucket's pairs
+    between two blocks of ids, and each set once."""
+    sizes = pairs.groupBy("bucket").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 2000)).cast("int").alias("blocks"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    dealt = pairs.join(sizes, "bucket").withColumns({"i": at("a"), "j": at("b")}).drop("blocks")
+    key = ["bucket", "i", "j"]
+    needed = dealt.select(*key, F.col("a").alias("cid")).unionByName(dealt.select(*key, F.col("b").alias("cid"))).distinct().join(sets, "cid")
+    nothing = F.lit(None).cast("long")
+    both = needed.select(*key, "cid", "shingles", nothing.alias("a"), nothing.alias("b")).unionByName(dealt.select(*key, nothing.alias("cid"), F.lit(None).cast("binary").alias("shingles"), "a", "b"))
+
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = []
+        for _, own in rows.groupby(key, sort=False):
+            held = {int(c): np.frombuffer(s, np.uint64) for c, s in zip(own["cid"], own["shingles"], strict=True) if s is not None}
+            for a, b in own.loc[own["a"].notna(), ["a", "b"]].astype("int64").itertuples(index=False):
+                x, y = held[a], held[b]
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return both.repartition(*key).sortWithinPartitions(*key).mapInPandas(streamed(key, run), "a long, b long")
