@@ -24,7 +24,7 @@ from orecart.llm.common import Scratch, fold, lowered_words, per_worker, streame
 from orecart.llm.minhash import WordHashes, mix
 
 #: Tokens in a chunk, text bytes for each bucket of counts, buckets of context frequency, bins of an octave in EM's table.
-CHUNK, BUCKET_BYTES, LEVELS, BINS = 1 << 20, 24_000_000, 24, 8
+CHUNK, BUCKET_BYTES, LEVELS, BINS = 1 << 21, 24_000_000, 24, 8
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 TRAIN, DELETED, HELD = 0, 1, 2
 ROWS = "key long, src long, kind int, part int, v long, n long, blob binary"
@@ -49,8 +49,11 @@ def expand(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each token; before a document's first token there are start marks."""
+def ngrams(words: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Hash of the n-gram that ends at each token; before a document's first token there are start marks.
+
+    Words have all 64 bits, longer n-grams the upper `bits`, enough to expect less than one clash in the corpus.
+    """
     if order == 1:
         return words
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -59,14 +62,15 @@ def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
     for back in range(order - 1, -1, -1):
         i = at - back
         out = mix(out ^ np.where(i < first, START, words[np.maximum(i, 0)]))
-    return out
+    return out >> np.uint64(64 - bits)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(h) >> np.uint64(32)) % np.uint64(buckets)
+def _bucket(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Equal ranges of hashes, so that sorted hashes of a bucket lie close."""
+    return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _send(order: int, buckets: int):
+def _send(order: int, buckets: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, task, chunk = per_worker(("shingles",), WordHashes), TaskContext.get().partitionId(), 0
         docs, kinds, words, tokens = [], [], [], 0
@@ -78,7 +82,7 @@ def _send(order: int, buckets: int):
             flat, kind = np.concatenate(words), np.repeat(np.array(kinds), lengths)
             rows = []
             for n in range(1, order + 1):
-                seen, where = np.unique(ngrams(flat, lengths, n), return_inverse=True)
+                seen, where = np.unique(ngrams(flat, lengths, n, bits), return_inverse=True)
                 if n == 1:
                     ids = np.array([d if d is not None else -1 for d in docs], np.int64)
                     null = np.array([d is None for d in docs], np.uint8)
@@ -86,7 +90,7 @@ def _send(order: int, buckets: int):
                     rows.append((-1 - src, src, DOCS, 0, 0, 0, packed))
                 train = np.bincount(where, kind != HELD, len(seen)).astype(np.uint32)
                 deleted = np.bincount(where, kind == DELETED, len(seen)).astype(np.uint32)
-                bucket = _bucket(seen, buckets)
+                bucket = _bucket(seen, buckets, 64 if n == 1 else bits)
                 by = np.argsort(bucket, kind="stable")
                 for b, own in zip(*_runs(bucket[by]), strict=True):
                     i = by[own]
@@ -134,7 +138,7 @@ def _add_up(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
             yield out.head(1).assign(key=-1, kind=TOTALS, v=int((train > 0).sum()), n=int(train.sum()), part=int(0), blob=squeeze(np.array([deleted.sum()])))
 
 
-def _assemble(order: int, buckets: int):
+def _assemble(order: int, buckets: int, bits: int):
     """One row a chunk: its documents and, for each token, the totals of the n-grams that end there."""
 
     def run(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -146,8 +150,8 @@ def _assemble(order: int, buckets: int):
             flat = words[where]
             arrays = [ids, null, kinds, lengths]
             for n in range(1, order + 1):
-                seen, at = (words, where) if n == 1 else np.unique(ngrams(flat, lengths, n), return_inverse=True)
-                by = np.argsort(_bucket(seen, buckets), kind="stable")
+                seen, at = (words, where) if n == 1 else np.unique(ngrams(flat, lengths, n, bits), return_inverse=True)
+                by = np.argsort(_bucket(seen, buckets, 64 if n == 1 else bits), kind="stable")
                 answers = own[(own["kind"] == ANSWERS) & (own["part"] == n)].sort_values("v")
                 got = [expand(x) for x in answers["blob"]]
                 for k in (0, 1):
@@ -215,9 +219,10 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, delete
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     buckets = max(1, -(-int(size[0]) // BUCKET_BYTES))
     tasks = max(buckets * order, 1)
-    sent = text.mapInPandas(_send(order, buckets), ROWS).repartition(tasks, "key").sortWithinPartitions("key")
+    bits = min(64, max(40, 2 * int(size[0]).bit_length() - 3))  # fewer n-grams than bytes / 2, so their pairs are fewer than 2 ** bits
+    sent = text.mapInPandas(_send(order, buckets, bits), ROWS).repartition(tasks, "key").sortWithinPartitions("key")
     answered = sent.mapInPandas(streamed(["key"], _add_up), ROWS).repartition(buckets, "key").sortWithinPartitions("key")
-    kept = scratch.write(answered.mapInPandas(streamed(["key"], _assemble(order, buckets)), "v long, n long, deleted long, blob binary"), "counted")
+    kept = scratch.write(answered.mapInPandas(streamed(["key"], _assemble(order, buckets, bits)), "v long, n long, deleted long, blob binary"), "counted")
     sums = kept.agg(F.sum("v"), F.sum("n"), F.sum("deleted")).first()
     v, n, n_deleted = (int(x or 0) for x in sums)
     chunks = kept.filter("blob is not null").select("blob")
