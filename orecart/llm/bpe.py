@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from orecart.llm.common import per_worker
 
 #: Units kept by a worker's memo, and states kept by its transducer; each starts afresh beyond that.
-MEMO, STATES = 300_000, 200_000
+MEMO, STATES = 500_000, 300_000
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space besides blank and line feed; in a text that holds any, the pattern runs over the whole text.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -47,27 +47,32 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Transducer:
-    """States are tuples of open boundaries, oldest first. A boundary is (bytes since it, tokens from the emitted past up to it)."""
+    """A state is the open boundaries of a prefix, oldest first, each as (bytes since it, token that ends at it).
+
+    The arc for a byte gives the token that ends there. Tokens leave once the pasts of all open boundaries agree on them, which
+    is looked for every LOOKAHEAD bytes and at the end of a word; no open boundary is older than the longest token.
+    """
+
+    LOOKAHEAD = 256
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}  # proper prefixes: the trie's inner nodes
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[bytes, bool] = {}
-        self.start = (((b"", ()),), b"")
         self.reset()
 
+    def reset(self) -> None:
+        self.count = 1
+        self.ids: dict[tuple, dict] = {}
+        self.start = {-1: ((b"", b""),)}  # arcs by byte; -1 has the boundaries
+
     def reached(self, token: bytes) -> bool:
         """Whether merging makes this entry; one that it does not make stands for whole words only."""
         if (known := self.known.get(token)) is None:
             known = self.known[token] = len(merge(token, self.ranks)) == 1
         return known
 
-    def reset(self) -> None:
-        self.ids: dict[tuple, int] = {self.start: 0}
-        self.states: list[tuple] = [self.start]
-        self.arcs: list[dict[int, tuple[int, tuple[bytes, ...]]]] = [{}]
-
     def fits(self, s: bytes, t: bytes) -> bool:
         if (known := self.pairs.get((s, t))) is None:
             if len(self.pairs) > 4 * STATES:
@@ -75,44 +80,57 @@ class Transducer:
             known = self.pairs[s, t] = merge(s + t, self.ranks) == [s, t]
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        """Follow or make the arc; gives the next state and the tokens that are settled by it."""
-        if (arc := self.arcs[state].get(byte)) is not None:
-            return arc
-        (boundaries, last), b = self.states[state], bytes([byte])
-        new, end = [], None
-        for since, past in boundaries:
+    def arc(self, state: dict, byte: int) -> tuple[dict, bytes]:
+        """Make the arc of a state for a byte: the next state, and the token that ends there."""
+        b, ranks, starts = bytes((byte,)), self.ranks, self.starts
+        new, token = [], b""
+        for since, last in state[-1]:
             longer = since + b
-            before = past[-1] if past else last
-            if end is None and longer in self.ranks and self.reached(longer) and (not before or self.fits(before, longer)):
-                end = (*past, longer)
-            if longer in self.starts:
-                new.append((longer, past))
-        if end is None:
+            if not token and longer in ranks and (not last or self.fits(last, longer)) and self.reached(longer):
+                token = longer
+            if longer in starts:
+                new.append((longer, last))
+        if not token:
             raise ValueError("the vocabulary does not hold every byte")
-        new.append((b"", end))
-        common = min((p for _, p in new), key=len)
-        n = next((i for i, t in enumerate(common) if any(p[i] != t for _, p in new)), len(common))
-        out = common[:n]
-        key = (tuple((s, p[n:]) for s, p in new), out[-1] if out else last)
+        new.append((b"", token))
+        key = tuple(new)
         if (to := self.ids.get(key)) is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.arcs.append({})
-        arc = self.arcs[state][byte] = (to, out)
-        return arc
+            to = self.ids[key] = {-1: key}
+            self.count += 1
+        state[byte] = (to, token)
+        return to, token
 
     def encode(self, word: bytes) -> list[bytes]:
         if word in self.ranks and not self.reached(word):
             return [word]
-        if len(self.states) > STATES:
+        if self.count > STATES:
             self.reset()
-        state, out, arcs = 0, [], self.arcs
+        state, ends, out = self.start, [], []
         for byte in word:
-            arc = arcs[state].get(byte) or self.step(state, byte)
-            state = arc[0]
-            out += arc[1]
-        return out + list(self.states[state][0][-1][1])  # the last boundary is the end of the word
+            state, token = state.get(byte) or self.arc(state, byte)
+            ends.append(token)
+            if len(ends) >= self.LOOKAHEAD + 256:
+                n = self.agreed(ends, state)
+                out += back(ends, n)
+                del ends[:n]
+        return out + back(ends, len(ends))
+
+    def agreed(self, ends: list[bytes], state: dict) -> int:
+        """Where the pasts of all open boundaries first meet."""
+        open_ = {len(ends) - len(since) for since, _ in state[-1]}
+        while len(open_) > 1:
+            last = max(open_)
+            open_ = open_ - {last} | {last - len(ends[last - 1])}
+        return open_.pop()
+
+
+def back(ends: list[bytes], at: int) -> list[bytes]:
+    """The tokens up to a position, given the token that ends at each."""
+    out = []
+    while at:
+        out.append(ends[at - 1])
+        at -= len(ends[at - 1])
+    return out[::-1]
 
 
 class Encoder(dict):
