@@ -131,9 +131,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     keys = mix(keys ^ regs[: BANDS * ROWS].reshape(BANDS, ROWS)[:, i].astype(np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
                 with np.errstate(over="ignore"):
                     rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), regs.tobytes(), keys.astype(np.int64)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "regs", "bands"]).astype({"d1": "Int64", "d2": "Int64"})
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            out = pd.DataFrame({"n_shingles": columns[0], "regs": columns[3], "bands": columns[4]})
+            out["d1"], out["d2"] = (pd.array(c, dtype="Int64") for c in columns[1:3])  # never through floats, whatever nulls there are
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out
+            yield out[["doc_id", "n_shingles", "d1", "d2", "regs", "bands"]]
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data")).mapInPandas(
         run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"
@@ -272,14 +274,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(sizes, "bucket").withColumns({"i": at("a"), "j": at("b")}).drop("blocks")
     key = ["bucket", "i", "j"]
     needed = dealt.select(*key, F.col("a").alias("cid")).unionByName(dealt.select(*key, F.col("b").alias("cid"))).distinct().join(sets, "cid")
-    nothing = F.lit(None).cast("long")
-    both = needed.select(*key, "cid", "shingles", nothing.alias("a"), nothing.alias("b")).unionByName(dealt.select(*key, nothing.alias("cid"), F.lit(None).cast("binary").alias("shingles"), "a", "b"))
+    none = F.lit(0).cast("long")  # ids stay integers: a column with nulls would pass through floats
+    both = needed.select(*key, "cid", "shingles", none.alias("a"), none.alias("b")).unionByName(dealt.select(*key, none.alias("cid"), F.lit(None).cast("binary").alias("shingles"), "a", "b"))
 
     def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         out = []
         for _, own in rows.groupby(key, sort=False):
-            held = {int(c): np.frombuffer(s, np.uint64) for c, s in zip(own["cid"], own["shingles"], strict=True) if s is not None}
-            for a, b in own.loc[own["a"].notna(), ["a", "b"]].astype("int64").itertuples(index=False):
+            is_set = own["shingles"].notna()
+            held = {c: np.frombuffer(s, np.uint64) for c, s in own.loc[is_set, ["cid", "shingles"]].itertuples(index=False)}
+            for a, b in own.loc[~is_set, ["a", "b"]].itertuples(index=False):
                 x, y = held[a], held[b]
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * same >= percent * (len(x) + len(y) - same):
