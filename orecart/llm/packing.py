@@ -7,7 +7,9 @@ per-task counters plus prefix sums of the counts of earlier tasks: no sort, no w
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from orecart.llm.common import Scratch, per_worker
 
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, idx long"
-#: Words kept by a worker's memo; it starts afresh beyond that.
+#: Words in a worker's memo before it becomes the older one.
 MEMO = 400_000
 #: Other white space than these is left to the tokenizer, in whole texts.
 ODD_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -29,16 +31,18 @@ ODD_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f"
 class WordMemo(dict):
     """Ids, as little-endian unsigned 32-bit, of a word between ASCII white space.
 
-    The tokenizer's normaliser and pre-tokeniser never join text across white space, so words can be encoded one by one.
+    The tokenizer's normaliser and pre-tokeniser never join text across white space, so words can be encoded one by one. A full memo
+    becomes the older one, whose words come back when they are met again, so frequent words are never encoded anew.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores; threads on short batches only wait for each other
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -47,10 +51,14 @@ class WordMemo(dict):
         if any(c in data for c in ODD_SPACE):
             return self.ids([text])[0]
         words = data.split()
-        if new := list({w for w in words if w not in self}):
-            if len(self) + len(new) > MEMO:
+        if unmet := {w for w in words if w not in self}:
+            if len(self) + len(unmet) > MEMO:
+                self.older = dict(self)
                 self.clear()
-                new = list(set(words))
+                unmet = set(words)
+            older = self.older
+            self.update((w, older[w]) for w in unmet if w in older)
+            new = [w for w in unmet if w not in older]
             self.update(zip(new, self.ids([w.decode() for w in new]), strict=True))
         return b"".join(map(self.__getitem__, words))
 
