@@ -29,6 +29,8 @@ BUCKETS = 1 << BUCKET_BITS
 MEMO = 400_000
 #: Classes in a block when the members of a bucket that stayed apart are compared.
 BLOCK = 512
+#: Registers that are compared first; only pairs that these leave likely are estimated from all.
+FIRST = 128
 #: Standard errors of the estimate that a pair may fall short of the threshold by and still be confirmed on whole sets.
 SLACK = 4.0
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -142,14 +144,24 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
+def likely_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the estimates of rows of registers come within SLACK standard errors of the threshold."""
+    a, b = np.broadcast_arrays(a, b)
+    n, m = np.broadcast_arrays(n, m)
+    ok = np.ones(len(a), bool)
+    for count in (FIRST, BUCKETS):
+        at = np.flatnonzero(ok)
+        if len(at):
+            ok[at] = estimate(a[at, :count], b[at, :count], n[at], m[at]) >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / count)
+    return ok
+
+
 def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 a_regs, b_regs = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), -1) for c in ("a_regs", "b_regs"))
-                got = estimate(a_regs, b_regs, b["a_n"].to_numpy(), b["b_n"].to_numpy())
-                spread = np.sqrt(threshold * (1 - threshold) / BUCKETS)
-                yield b.loc[got >= threshold - SLACK * spread, ["a", "b"]]
+                yield b.loc[likely_pairs(a_regs, b_regs, b["a_n"].to_numpy(), b["b_n"].to_numpy(), threshold), ["a", "b"]]
 
     return pairs.mapInPandas(run, "a long, b long")
 
@@ -243,24 +255,23 @@ def _likely_apart(members: DataFrame, threshold: float, percent: int, best: bool
             regs = np.frombuffer(b"".join(own["regs"]), np.uint16).reshape(len(own), -1)
             bands = regs[:, : BANDS * ROWS].reshape(len(own), BANDS, ROWS)
             ids, n, part, side, band = own["cid"].to_numpy(), own["n"].to_numpy(), own["part"].to_numpy(), own["own"].to_numpy(), int(own["band"].iloc[0])
-            second = np.flatnonzero(side == j)
+            second, mine = np.flatnonzero(side == j), []
             for x in np.flatnonzero(side == i):
                 y = second[second > x] if i == j else second
                 y = y[part[y] != part[x]]
                 y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-                if not len(y):
-                    continue
-                got = estimate(regs[x][None], regs[y], n[x], n[y])
-                ok = (got >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / BUCKETS)) & ~(bands[x, :band][None] == bands[y, :band]).all(2).any(1)
-                if ok.any():
-                    y = y[ok]
-                    out.append(pd.DataFrame({"bucket": bucket, "a": ids[x], "b": ids[y], "lo": np.minimum(part[x], part[y]), "hi": np.maximum(part[x], part[y]), "got": got[ok]}))
-            if best and out and out[-1]["bucket"].iloc[0] == bucket:
-                mine = [o for o in out if "got" in o]
-                out = [o for o in out if "got" not in o]
-                out.append(pd.concat(mine).sort_values(["got", "a", "b"], ascending=[False, True, True]).drop_duplicates(["lo", "hi"])[["bucket", "a", "b"]])
+                y = y[likely_pairs(regs[x][None], regs[y], n[x], n[y], threshold)]
+                y = y[~(bands[x, :band][None] == bands[y, :band]).all(2).any(1)]
+                if len(y):
+                    got = estimate(regs[x][None], regs[y], n[x], n[y])
+                    mine.append(pd.DataFrame({"bucket": bucket, "a": ids[x], "b": ids[y], "lo": np.minimum(part[x], part[y]), "hi": np.maximum(part[x], part[y]), "got": got}))
+            if mine:
+                pairs = pd.concat(mine)
+                if best:
+                    pairs = pairs.sort_values(["got", "a", "b"], ascending=[False, True, True]).drop_duplicates(["lo", "hi"])
+                out.append(pairs[["bucket", "a", "b"]])
         if out:
-            yield pd.concat([o[["bucket", "a", "b"]] for o in out])
+            yield pd.concat(out)
 
     found = _dealt(members, "members", BLOCK).mapInPandas(streamed(["bucket", "i", "j"], compare), "bucket long, a long, b long")
     return found.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
