@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orecart.llm.common import Scratch, connected_components, lowered_words, per_worker, streamed
 
-BUCKET_BITS, MANTISSA, BANDS, ROWS = 7, 8, 20, 4
+BUCKET_BITS, MANTISSA, BANDS, ROWS = 9, 8, 20, 4
 BUCKETS = 1 << BUCKET_BITS
 MEMO = 400_000
 #: Classes in a block when the members of a bucket that stayed apart are compared.
