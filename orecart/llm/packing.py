@@ -26,9 +26,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 MEMO = 400_000
 #: Other white space than these is left to the tokenizer, in whole texts.
 ODD_SPACE = b"\x0b\x0c\x1c\x1d\x1e\x1f"
+#: What stands between words that are encoded together. A word that holds it gives a part too many.
+MARK = b" \x01 "
 
 
-class WordMemo(dict):
+class WordMemo:
     """Ids, as little-endian unsigned 32-bit, of a word between ASCII white space.
 
     The tokenizer's normaliser and pre-tokeniser never join text across white space, so words can be encoded one by one. A full memo
@@ -39,28 +41,39 @@ class WordMemo(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores; threads on short batches only wait for each other
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.older = Tokenizer.from_file(path), {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
+        self.tokenizer, self.now, self.older = Tokenizer.from_file(path), {}, {}
+        self.mark = self.ids(MARK.decode())
+
+    def ids(self, text: str) -> array:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. All go through the tokenizer as one text with a mark between words, and are cut at the mark's id; where that
+        doesn't give one part a word, one by one."""
+        if len(words) > 1 and len(self.mark) == 1:
+            got = np.frombuffer(self.ids(MARK.join(words).decode("utf-8", "replace")), np.uint32)
+            at = np.flatnonzero(got == self.mark[0])
+            if len(at) == len(words) - 1:
+                data, cuts = got.tobytes(), (4 * at).tolist()
+                return [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+        return [self.ids(w.decode("utf-8", "replace")).tobytes() for w in words]
+
+    def encode(self, data: bytes | None) -> bytes:
+        """Ids of a text in UTF-8."""
+        if not data:
             return b""
-        data = text.encode("utf-8", "replace")
         if any(c in data for c in ODD_SPACE):
-            return self.ids([text])[0]
+            return self.ids(data.decode("utf-8", "replace")).tobytes()
         words = data.split()
-        if unmet := {w for w in words if w not in self}:
-            if len(self) + len(unmet) > MEMO:
-                self.older = dict(self)
-                self.clear()
+        if unmet := set(words).difference(self.now):
+            if len(self.now) + len(unmet) > MEMO:
+                self.older, self.now = self.now, {}
                 unmet = set(words)
             older = self.older
-            self.update((w, older[w]) for w in unmet if w in older)
+            self.now.update((w, older[w]) for w in unmet if w in older)
             new = [w for w in unmet if w not in older]
-            self.update(zip(new, self.ids([w.decode() for w in new]), strict=True))
-        return b"".join(map(self.__getitem__, words))
+            self.now.update(zip(new, self.each(new), strict=True))
+        return b"".join(map(self.now.__getitem__, words))
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
@@ -74,7 +87,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFram
         seen: dict[int, int] = {}
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"], batch["data"], strict=True):
                 ids = memo.encode(text) + END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -85,7 +98,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFram
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data")).mapInPandas(cut, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

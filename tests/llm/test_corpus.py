@@ -43,6 +43,17 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), path, cap).count() == 0
 
 
+def test_words_encoded_together_keep_their_ids():
+    """Also with the mark itself in a word, odd white space, letters that change in lower case, and a memo that is renewed."""
+    memo, rng = packing.WordMemo(P.path("word_bpe_49k.json")), random.Random(3)
+    letters = "ab \x01 \x00\u0301é\u0130Σσ'sdon't.,9\n\t\x0b\x85\u00a0\u2003 中\ufb01🙂\u01c4<|endoftext|>"
+    for k in range(2000):
+        text = "".join(rng.choices(letters, k=rng.randrange(60)))
+        if k % 100 == 0:
+            memo.older, memo.now = memo.now, {}
+        assert memo.encode(text.encode()) == memo.ids(text).tobytes()
+
+
 def test_best_two_fit_replaces():
     # greedy takes 6 then 3 and leaves 1; two pieces of 2 fill the expanded gap of 4
     assert packing.plan({6: 1, 3: 1, 2: 2}, 10)[0][0] == [6, 2, 2]
