@@ -1,12 +1,13 @@
-"""Near-duplicate vectors by NN-descent over a neighbour graph.
+"""Near-duplicate vectors by an exact join within labels.
 
-The graph starts from sign codes of random hyperplanes: rows sorted by code, next rows linked. Each round every vertex joins its neighbours,
-and those it is a neighbour of, with each other (local join); pairs nearer than what one side has replace it. Edges at or above the
-threshold, confirmed in double precision, give components. Where a vertex's list is full of such edges (saturated) it may have more
-links than the list holds; its list is enlarged to the whole component, in blocks of bounded size, which is exact, since links never leave
-a component. A brute-force audit of a bounded sample measures recall; below the target the lists are doubled and the descent goes on.
+Large labels are split into the cells of pivots, which are rows drawn by hash: a row is at home in the cell of its nearest pivot. Of two
+linked rows at home in different cells each lies within the link's length of the plane between the two pivots, so a row visits just the
+cells that it lies so near to, one of each two cells being the visitor. Cells are compared in blocks of bounded size, home rows with home
+rows and with visitors, so each pair that may be linked is compared once, in double precision where single precision leaves it open.
+A block emits what it adds to each row's links and a spanning forest of its links, not the links themselves.
 
-Equal vectors are one class with a multiplicity. Vectors meet only within their label and dimension.
+Pivots prune only where rows form groups; without groups all pairs of a label are compared. Equal vectors are one class with a
+multiplicity. Vectors meet only within their label and dimension.
 """
 
 from __future__ import annotations
@@ -15,175 +16,150 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orecart.llm.common import Scratch, connected_components, streamed
 
-LIST, TABLES, BITS, AHEAD, ROUNDS = 12, 8, 16, 4, 2
-BLOCK, AUDIT, TARGET, TRIES, SEED = 1024, 96, 0.99, 3, 5
-#: What half-precision copies, used to steer the descent only, may differ by.
-MARGIN = 0.004
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float16).reshape(len(column), -1).astype(np.float32)
-
-
-def _by_dimension(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for _, own in b.groupby(b["h"].str.len(), sort=False):
-        yield own
-
-
-def _codes(vectors: DataFrame) -> DataFrame:
-    """(cid, g, h, table, code) for each hyperplane table."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for own in _by_dimension(batch):
-                x = _matrix(own["h"])
-                for t in range(TABLES):
-                    planes = np.random.default_rng([SEED, t, x.shape[1]]).standard_normal((x.shape[1], BITS)).astype(np.float32)
-                    yield own.assign(table=t, code=(x @ planes > 0) @ (1 << np.arange(BITS)[::-1]))[["cid", "g", "h", "table", "code"]]
-
-    return vectors.select("cid", "g", "h").mapInPandas(run, "cid long, g string, h binary, table int, code long")
-
-
-def _first_graph(vectors: DataFrame) -> DataFrame:
-    """Each row with the AHEAD rows after it in the order of codes; ranges of the sort key are dealt, so no label or code fills a task."""
+#: Rows a pivot is drawn for, and pivots in all. Both steer the cost only.
+CELL, PIVOTS = 8192, 2048
+#: Blocks a cell is cut into, rows a block has at least, and components of vectors it holds at most.
+BLOCKS, LEAST, VALUES = 8, 256, 1 << 18
+#: Rows compared at a time with a block, and pairs at a time in double precision.
+STRIP, PAIRS = 512, 50_000
+
+
+def _packed(w: np.ndarray) -> bytes:
+    """A vector's components, in single precision where that is exact."""
+    w = np.asarray(w, float)
+    with np.errstate(over="ignore", under="ignore"):
+        short = w.astype(np.float32)
+    return short.tobytes() if (short == w).all() else w.tobytes()
+
+
+def _units(column: pd.Series, size: int) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * size else np.float64) for b in column]).astype(float)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _pivots(vectors: DataFrame, cell: int, pivots: int) -> dict[str, np.ndarray]:
+    """Pivots of the labels with two cells or more, in single precision, no two within a small angle of each other."""
+    sizes = {r["g"]: r["n"] for r in vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * cell).orderBy(F.desc("n"), "g").limit(pivots // 2).collect()}
+    if not sizes:
+        return {}
+    share = min(1 / cell, pivots / sum(sizes.values()))
+    dice = F.pmod(F.xxhash64("d", F.lit("pivot")), F.lit(1 << 30)) < int(share * (1 << 30))
+    drawn: dict[str, list] = {}
+    for r in vectors.filter(dice).select("g", "d", "size", "x").orderBy("d").collect():
+        if r["g"] in sizes:
+            own, p = drawn.setdefault(r["g"], []), _units(pd.Series([r["x"]]), r["size"])[0]
+            if not own or (np.stack(own) @ p).max() < 0.9:
+                own.append(p)
+    return {g: np.stack(own).astype(np.float32) for g, own in drawn.items() if len(own) > 1}
+
+
+def _cells(vectors: DataFrame, pivots: dict[str, np.ndarray], threshold: float) -> DataFrame:
+    """(g, cell, home, node, mult, size, x): each row where it is at home and where it visits."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
         for batch in batches:
-            b = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            new_from = 0 if tail is None else len(tail)
-            key, ids = (b["g"] + "/" + b["table"].astype(str)).to_numpy(), b["cid"].to_numpy()
-            for _, at in b.groupby(b["h"].str.len(), sort=False).indices.items():
-                x = _matrix(b["h"].iloc[at])
-                for step in range(1, AHEAD + 1):
-                    i, j = at[:-step], at[step:]
-                    ok = (key[i] == key[j]) & (j >= new_from)
-                    sim = (x[:-step] * x[step:]).sum(1)[ok]
-                    yield pd.DataFrame({"v": np.r_[ids[i[ok]], ids[j[ok]]], "u": np.r_[ids[j[ok]], ids[i[ok]]], "sim": np.r_[sim, sim]})
-            tail = b.tail(AHEAD)
-
-    ordered = _codes(vectors).repartitionByRange("g", "table", "code", "cid").sortWithinPartitions("g", "table", "code", "cid")
-    return ordered.mapInPandas(run, "v long, u long, sim float")
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
-    found = pairs.filter("u <> v").groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
-
-
-def _descend(graph: DataFrame, vectors: DataFrame, k: int, round_: int) -> DataFrame:
-    """One round: what local joins find, merged into the lists."""
-    worst = graph.groupBy("v").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    degree = graph.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    # of those that a vertex is a neighbour of, about k are drawn, as the method has it; they steer the search and drop no row
-    back = graph.join(degree, "u").filter(F.pmod(F.xxhash64("u", "v", F.lit(round_)), F.lit(1 << 20)) * F.col("d") < k * (1 << 20))
-    meet = graph.select(F.col("v").alias("x"), F.col("u").alias("m"), "fresh").unionByName(back.select(F.col("u").alias("x"), F.col("v").alias("m"), "fresh"))
-    meet = meet.groupBy("x", "m").agg(F.max("fresh").alias("fresh"))
-    members = vectors.select(F.col("cid").alias("m"), "h").join(worst.withColumnRenamed("v", "m"), "m", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
-
-    def local_join(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for own in _by_dimension(b):
-            _, row, size = np.unique(own["x"].to_numpy(), return_inverse=True, return_counts=True)
-            order = np.argsort(row, kind="stable")
-            own, row = own.iloc[order], row[order]
-            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            wide = int(size.max())
-            step = max(1, 4_000_000 // (wide * wide))
-            x, ids, low, fresh = _matrix(own["h"]), own["m"].to_numpy(), own["worst"].to_numpy(np.float32), own["fresh"].to_numpy(bool)
-            for at in range(0, len(size), step):
-                mine = (row >= at) & (row < at + step)
-                r, p, n = row[mine] - at, place[mine], min(step, len(size) - at)
-                t, i, w, f = np.zeros((n, wide, x.shape[1]), np.float32), np.full((n, wide), -1), np.full((n, wide), 9, np.float32), np.zeros((n, wide), bool)
-                t[r, p], i[r, p], w[r, p], f[r, p] = x[mine], ids[mine], low[mine], fresh[mine]
-                sim = t @ t.transpose(0, 2, 1)
-                ok = (sim > np.minimum(w[:, :, None], w[:, None, :])) & (f[:, :, None] | f[:, None, :]) & (i[:, :, None] >= 0) & (i[:, None, :] >= 0) & np.triu(np.ones((wide, wide), bool), 1)
-                ok &= i[:, :, None] != i[:, None, :]
-                g, a, c = np.nonzero(ok)
-                s, first, second = sim[g, a, c], i[g, a], i[g, c]
-                better, other = s > w[g, a], s > w[g, c]
-                yield pd.DataFrame({"v": np.r_[first[better], second[other]], "u": np.r_[second[better], first[other]], "sim": np.r_[s[better], s[other]]})
-
-    dealt = meet.join(members, "m").select("x", "m", "h", "worst", "fresh").repartition("x").sortWithinPartitions("x")
-    found = dealt.mapInPandas(streamed(["x"], local_join), "v long, u long, sim float")
-    return _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
-
-
-def cosine(a: str, b: str):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def _confirmed(graph: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    near = graph.filter(F.col("sim") >= threshold - MARGIN).select(F.least("v", "u").alias("src"), F.greatest("v", "u").alias("dst")).distinct()
-    a, b = (vectors.select(F.col("cid").alias(c), F.col("w").alias(f"{c}_w")) for c in ("src", "dst"))
-    return near.join(a, "src").join(b, "dst").filter(cosine("src_w", "dst_w") >= threshold).select("src", "dst")
-
-
-def _within_components(parts: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(cid, others): the multiplicities of the linked classes of each class, over its whole component in blocks."""
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    held = parts.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(vectors.select(F.col("cid").alias("node"), "mult", "w"), "node")
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = held.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("cid"), "mult", "w")
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-
-    def count(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        out = []
-        for (_, i, j), own in b.groupby(["component", "i", "j"], sort=False):
-            x = np.stack(own["w"].to_numpy())
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            mult, side, ids = own["mult"].to_numpy(), own["own"].to_numpy(), own["cid"].to_numpy()
+            for g, own in batch.groupby("g", sort=False):
+                p = shared.value.get(g)
+                if p is None:
+                    yield own.assign(cell=0, home=True)
+                    continue
+                apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                for at in range(0, len(own), STRIP):
+                    part = own.iloc[at : at + STRIP]
+                    near = _units(part["x"], int(part["size"].iloc[0])).astype(np.float32) @ p.T
+                    home = near.argmax(1)
+                    yield part.assign(cell=home, home=True)
+                    # what single precision may be off by is far below 1e-3
+                    visits = near.max(1)[:, None] - near <= reach * apart[home] + 1e-3
+                    other = np.arange(len(p))[None]
+                    visits &= np.where((home[:, None] + other) % 2, home[:, None] < other, home[:, None] > other)
+                    row, cell = np.nonzero(visits)
+                    yield part.iloc[row].assign(cell=cell, home=False)
+
+    columns = ["g", "cell", "home", "node", "mult", "size", "x"]
+    ordered = lambda batches: (b[columns] for b in run(batches))
+    return vectors.select("g", "node", "mult", "size", "x").mapInPandas(ordered, "g string, cell int, home boolean, node long, mult long, size int, x binary")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether cosines of rows of unit vectors reach the threshold, in double precision."""
+    a, b = x.astype(np.float32), y.astype(np.float32)
+    margin, out = (x.shape[1] + 8) * 2.0**-22, np.zeros((len(x), len(y)), bool)
+    for at in range(0, len(a), STRIP):
+        sim = a[at : at + STRIP] @ b.T
+        out[at : at + STRIP] = sim >= threshold
+        i, j = np.nonzero(np.abs(sim - threshold) <= margin)
+        for k in range(0, len(i), PAIRS):
+            r, c = i[k : k + PAIRS], j[k : k + PAIRS]
+            out[at + r, c] = (x[at + r] * y[c]).sum(1) >= threshold
+    return out
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a matrix of links the row that stands for its component, -1 without a link."""
+    rows, columns = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    for seed in np.flatnonzero(linked.any(1)):
+        new = np.array([seed]) if rows[seed] < 0 else np.zeros(0, int)
+        while len(new):
+            rows[new] = seed
+            met = np.flatnonzero(linked[new].any(0) & (columns < 0))
+            columns[met] = seed
+            new = np.flatnonzero(linked[:, met].any(1) & (rows < 0))
+    return rows, columns
+
+
+def _links(cells: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, others): for each block and row with links there, a row that they reach and the multiplicities of its linked classes."""
+    visitors = F.sum((~F.col("home")).cast("long"))
+    sizes = cells.groupBy("g", "cell").agg(F.sum(F.col("home").cast("long")).alias("own_rows"), visitors.alias("visits"), F.first("size").alias("s"))
+    most = F.greatest(F.lit(64), F.floor(F.lit(VALUES) / F.col("s")))
+    block = F.least(most, F.greatest(F.lit(LEAST), F.ceil((F.col("own_rows") + F.col("visits")) / BLOCKS)))
+    sizes = sizes.select("g", "cell", F.ceil(F.col("own_rows") / block).cast("int").alias("n"), F.ceil(F.col("visits") / block).cast("int").alias("m"))
+    at = lambda count: F.pmod(F.xxhash64("node", F.lit("block")), count).cast("int")
+    held = cells.join(sizes, ["g", "cell"]).filter("n > 0").withColumn("own", F.when(F.col("home"), at(F.col("n"))).otherwise(F.col("n") + at(F.greatest("m", F.lit(1)))))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("n") + F.col("m")).otherwise(F.col("n")) - 1)))
+    key = ["g", "cell", "i", "j"]
+    dealt = held.select("g", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "mult", "size", "x")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+
+    def compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for (_, _, i, j), own in b.groupby(key, sort=False):
+            mult, side, ids = own["mult"].to_numpy(), own["own"].to_numpy(), own["node"].to_numpy()
             first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)
             if not len(first) or not len(second):
                 continue
-            linked = x[first] @ x[second].T >= threshold
+            x = _units(own["x"], int(own["size"].iloc[0]))
+            linked = _linked(x[first], x[second], threshold)
             if i == j:
                 np.fill_diagonal(linked, False)
-            out.append((ids[first], linked @ mult[second]))
+            others, back = linked @ mult[second], mult[first] @ linked
+            if i == j:
+                np.fill_diagonal(linked, others > 0)
+            rows, columns = _forest(linked)
+            a, c = others > 0, back > 0
+            yield pd.DataFrame({"node": ids[first][a], "root": ids[first][rows[a]], "others": others[a]})
             if i != j:
-                out.append((ids[second], mult[first] @ linked))
-        if out:
-            yield pd.DataFrame({"cid": np.concatenate([o[0] for o in out]), "others": np.concatenate([o[1] for o in out])})
-
-    return dealt.mapInPandas(streamed(["component", "i", "j"], count), "cid long, others long").groupBy("cid").agg(F.sum("others").alias("others"))
-
-
-def _recall(vectors: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded sample (half of it from linked vectors) that were found."""
-    dice = F.xxhash64("cid", F.lit("audit"))
-    known = vectors.join(found, "cid", "left").select("cid", "g", "w", F.coalesce("others", F.lit(0)).alias("others"))
-    sample = [r for half in (known.filter("others > 0"), known) for r in half.orderBy(dice).limit(AUDIT // 2).collect()]
-    sample = list({r["cid"]: r for r in sample}.values())
-    if not sample:
-        return 1.0
-    asked = vectors.sparkSession.sparkContext.broadcast([(r["cid"], r["g"], np.array(r["w"])) for r in sample])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for g, own in b.groupby("g"):
-                x = np.stack(own["w"].to_numpy())
-                x /= np.sqrt((x * x).sum(1))[:, None]
-                for cid, label, w in asked.value:
-                    if label == g:
-                        near = (x @ (w / np.sqrt((w * w).sum())) >= threshold) & (own["cid"].to_numpy() != cid)
-                        yield pd.DataFrame({"cid": [cid], "n": [int(own["mult"].to_numpy()[near].sum())]})
+                yield pd.DataFrame({"node": ids[second][c], "root": ids[first][columns[c]], "others": back[c]})
 
-    true = sum(r["n"] for r in vectors.select("cid", "g", "mult", "w").mapInPandas(count, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n")).collect())
-    return min(1.0, sum(r["others"] for r in sample) / true) if true else 1.0
+    return dealt.mapInPandas(streamed(key, compare), "node long, root long, others long")
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.98, id_: str = "vec_id", label: str = "label", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.98, id_: str = "vec_id", label: str = "label", vector: str = "embedding", scratch: Scratch | None = None, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of (vec_id, embedding, label).
 
     Rows are linked where labels are equal and not null and cosine, in double precision, is at least `threshold`. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing, nor do vectors of different dimension, null labels or null ids.
-    A repeated row counts as another vector of the same id, linked with the first. Other columns are ignored.
+    A repeated row counts as another vector of the same id, linked with the first. Other columns are ignored. `cell` and `pivots` steer
+    the cost only.
     """
     scratch = scratch or Scratch(rows.sparkSession, "neighbours")
     # the id only names rows here; labels ride along with it
@@ -193,28 +169,20 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_: str = "vec_id",
     tagged = tagged.withColumns({"g": F.concat_ws("/", F.col("label").cast("string"), F.size("w").cast("string")), "d": F.sha2(F.to_json("w"), 256)})
     classes = tagged.groupBy("g", "d").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("mult"), F.first("w").alias("w"))
 
-    def halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["h"] = [(x / np.sqrt((x * x).sum())).astype(np.float16).tobytes() for x in (np.asarray(w) / np.abs(w).max() for w in b["w"])]
+            b["size"], b["x"] = b["w"].str.len().astype("int32"), [_packed(w) for w in b.pop("w")]
             yield b
 
-    vectors = scratch.write(classes.select("cid", "g", "d", "mult", "w").mapInPandas(halved, "cid long, g string, d string, mult long, w array<double>, h binary"), "vectors")
-    k = LIST
-    graph = scratch.write(_best(_first_graph(vectors).withColumn("fresh", F.lit(True)), k), "graph-0")
-    done = 0
-    for attempt in range(TRIES):
-        for _ in range(ROUNDS):
-            done += 1
-            graph = scratch.write(_descend(graph, vectors, k, done), f"graph-{done}")
-            scratch.drop(f"graph-{done - 1}")
-        links = scratch.write(_confirmed(graph, vectors, threshold), f"links-{attempt}")
-        parts = scratch.write(connected_components(links, scratch, f"parts-{attempt}"), f"parts-{attempt}")
-        found = scratch.write(_within_components(parts, vectors, threshold), f"found-{attempt}")
-        if _recall(vectors, found, threshold) >= TARGET:
-            break
-        k *= 2
-    by_class = vectors.select("g", "d", "cid", "mult").join(found, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-    by_class = by_class.select("g", "d", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    # classes are numbered once, when they are written: one id may have several vectors
+    packed = classes.select("cid", "g", "d", "mult", "w").mapInPandas(shortened, "cid long, g string, d string, mult long, size int, x binary")
+    vectors = scratch.write(packed.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    links = scratch.write(_links(_cells(vectors, _pivots(vectors, cell, pivots), threshold), threshold), "links")
+    parts = scratch.write(connected_components(links.select(F.col("root").alias("src"), F.col("node").alias("dst")), scratch, "parts"), "parts")
+    found = links.groupBy("node").agg(F.sum("others").alias("others")).join(parts, "node")
+    least = found.join(vectors.select("node", "cid"), "node").groupBy("component").agg(F.min("cid").alias("least"))
+    by_class = vectors.select("g", "d", "cid", "mult", "node").join(found.join(least, "component"), "node", "left")
+    by_class = by_class.select("g", "d", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "cid").alias("component"))
     linked = tagged.select("vec_id", "g", "d").join(by_class, ["g", "d"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
     lone = numbered.filter(F.col("vec_id").isNull() | F.col("label").isNull() | F.coalesce(~_is_valid(F.transform("vector", lambda x: x.cast("double"))), F.lit(True)))
     out = linked.unionByName(lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

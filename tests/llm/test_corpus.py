@@ -125,6 +125,42 @@ def test_neighbours(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (201, 202, 203, 204, 205))
 
 
+def links_of(vectors, threshold=0.98):
+    m = np.asarray(vectors, np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    return dict(enumerate(((m @ m.T >= threshold).sum(1) - 1).tolist()))
+
+
+def vector_rows(spark, vectors):
+    return spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+
+
+def test_neighbours_finds_isolated_pairs(spark):
+    """Pairs that no order by sign codes brings together, as all rows have nearly the same code."""
+    r = np.random.default_rng(7)
+    x = 3 * r.standard_normal(32) + r.standard_normal((3000, 32))
+    for k in range(40):
+        x[2999 - k] = x[k] + 0.12 * r.standard_normal(32)
+    want = links_of(x)
+    assert sum(want.values()) >= 70
+    assert {q["vec_id"]: q["n_links"] for q in neighbours.near_vectors(vector_rows(spark, x)).collect()} == want
+
+
+def test_neighbours_with_pivots_and_small_blocks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal((150, 16)), 8, 0) + 0.11 * r.standard_normal((1200, 16))
+    want, ids = links_of(x), np.arange(1200)
+    monkeypatch.setattr(neighbours, "VALUES", 1)
+    monkeypatch.setattr(neighbours, "LEAST", 1)
+    got = neighbours.near_vectors(vector_rows(spark, x), cell=30).toPandas().set_index("vec_id").loc[ids]
+    m = x.astype(np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near, least = m @ m.T >= 0.98, ids.copy()
+    for _ in range(30):
+        least = np.where(near, least[None], 1200).min(1)
+    assert got["n_links"].to_dict() == want and got["component_id"].tolist() == least.tolist() and 100 < sum(want.values())
+
+
 def test_ann(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((600, 32)).astype(np.float32)
