@@ -161,6 +161,15 @@ def test_neighbours_with_pivots_and_small_blocks(spark, monkeypatch):
     assert got["n_links"].to_dict() == want and got["component_id"].tolist() == least.tolist() and 100 < sum(want.values())
 
 
+def test_neighbours_links_dense_groups(spark):
+    """Two groups of 60 near-equal vectors: each vector has far more links in its own group than lists used to hold, and 60 across."""
+    r = np.random.default_rng(9)
+    a, b = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+    x = np.repeat([a, 0.984 * a + np.sqrt(1 - 0.984**2) * b], 60, 0) + 0.002 * r.standard_normal((120, 32))
+    got = neighbours.near_vectors(vector_rows(spark, x)).collect()
+    assert set(links_of(x).values()) == {119} == {q["n_links"] for q in got} and {q["component_id"] for q in got} == {0}
+
+
 def test_ann(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((600, 32)).astype(np.float32)
