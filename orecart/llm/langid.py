@@ -24,6 +24,9 @@ GRAMS = (2, 3, 4)
 SAMPLE_ROWS, KEEP, SHARE, LEAST = 3000, 40_000, 0.4, 3
 SLOTS, HASHES = 1 << 20, 3
 MEMO = 300_000
+#: One drawn row in HELD_BACK is not learned from, in languages with LEAST_ROWS rows or more. A text is accepted whose share, with SLACK
+#: standard errors in its favour, reaches FLOOR times the median share of such rows in the language it is given.
+HELD_BACK, LEAST_ROWS, FLOOR, SLACK = 8, 64, 0.5, 2.0
 
 
 def letters_only(word: str) -> str:
@@ -100,32 +103,49 @@ class WordCounts(dict):
         return out
 
 
-def decide(text: str | None, words: WordCounts, model: Filters) -> tuple[str, float]:
-    """Language and score of a text: `und` and 0 without letters; ties go to the language first by name."""
+def judge(text: str | None, words: WordCounts, model: Filters) -> tuple[str, float, int]:
+    """Language, score and number of n-grams of a text: `und` and 0 without letters; ties go to the language first by name."""
     total = sum(map(words.__getitem__, text.split())) if text else 0
     n = total & 0xFFFFFFFF
     if not n:
-        return ("und", 0.0)
+        return ("und", 0.0, n)
     if not model.languages:
-        return ("und", 0.0)
+        return ("und", 0.0, n)
     held = np.array([total >> 32 * (k + 1) & 0xFFFFFFFF for k in range(len(model.languages))])
     share = np.clip((held / n - model.false) / (1 - model.false), 0, 1)
     best = int(share.argmax())
-    return model.languages[best], float(share[best])
+    return model.languages[best], float(share[best]), n
+
+
+def decide(text: str | None, words: WordCounts, model: Filters) -> tuple[str, float]:
+    """Language and score of a text."""
+    return judge(text, words, model)[:2]
+
+
+def _drawn(docs: DataFrame, folds: int, held: int, sample_rows: int) -> DataFrame | None:
+    """text, lang and held_back of drawn training rows: fold other than `held`, lang not null; None if there are no such rows."""
+    train = docs.select(F.col("doc_id"), "text", "lang").filter((fold("doc_id", folds) != held) & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    if not sizes:
+        return None
+    sample = sample_rows * HELD_BACK / (HELD_BACK - 1)
+    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (sample if n >= LEAST_ROWS else sample_rows) / n))])
+    drawn = train.filter(F.pmod(F.xxhash64("text", F.lit("lang sample")), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    large = [lang for lang, n in sizes.items() if n >= LEAST_ROWS]
+    back = F.col("lang").isin(large) & (F.pmod(F.xxhash64("doc_id", "text", F.lit("held back")), F.lit(HELD_BACK)) == 0)
+    return drawn.select("text", "lang", back.alias("held_back"))
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Filters from training rows of (doc_id, text, lang): fold other than `held`, lang not null.
 
     Each language gives about `sample_rows` rows, drawn by a hash of the text at a rate from an exact count, so the work is bounded
-    whatever the corpus. n-grams are counted per task first, then summed by n-gram.
+    whatever the corpus. n-grams are counted per task first, then summed by n-gram. Rows that are held back serve `floors`.
     """
-    train = docs.select(F.col("doc_id"), "text", "lang").filter((fold("doc_id", folds) != held) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    if not sizes:
+    drawn = _drawn(docs, folds, held, sample_rows)
+    if drawn is None:
         return Filters([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))])
-    drawn = train.filter(F.pmod(F.xxhash64("text", F.lit("lang sample")), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).select("text", "lang")
+    drawn = drawn.filter("not held_back").select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -167,15 +187,43 @@ def predict(docs: DataFrame, model: Filters, folds: int = 4, held: int = 2) -> D
     return docs.select(F.col("doc_id").cast("long"), (fold("doc_id", folds) == held).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Filters) -> DataFrame:
-    """The rows of `docs`, unchanged, whose text has a language."""
+def floors(docs: DataFrame, model: Filters, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
+    """The share that a text of each language must reach, from training rows that `fit` with the same arguments held back.
+
+    A language without such rows takes the least floor of the others.
+    """
+    drawn = _drawn(docs, folds, held, sample_rows)
+    if drawn is None or not model.languages:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false))
+    key = ("langid", uuid.uuid4().hex)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = per_worker(key, lambda: WordCounts(Filters(*shared.value)))
+        model = Filters(*shared.value)
+        for batch in batches:
+            got = [judge(t, words, model) for t in batch["text"]]
+            own = [n > 0 and lang == true for (lang, _, n), true in zip(got, batch["lang"], strict=True)]
+            yield pd.DataFrame({"lang": batch["lang"], "score": [g[1] for g in got]})[own]
+
+    scores = drawn.filter("held_back").select("text", "lang").mapInPandas(run, "lang string, score double")
+    found = {r["lang"]: FLOOR * r["m"] for r in scores.groupBy("lang").agg(F.percentile_approx("score", 0.5).alias("m")).collect()}
+    return {lang: found.get(lang, min(found.values(), default=0.0)) for lang in model.languages}
+
+
+def accepted(docs: DataFrame, model: Filters, least: dict[str, float] | None = None) -> DataFrame:
+    """The rows of `docs`, unchanged, whose text has a language: letters, n-grams that it holds, and as many as `least` asks for."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false))
     key = ("langid", uuid.uuid4().hex)
 
+    def is_kept(lang: str, score: float, n: int) -> bool:
+        floor = (least or {}).get(lang, 0.0)
+        return score > 0 and score >= floor - SLACK * (floor * (1 - floor) / n) ** 0.5
+
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
         words = per_worker(key, lambda: WordCounts(Filters(*shared.value)))
         model = Filters(*shared.value)
-        return pd.Series([decide(t, words, model)[0] != "und" for t in texts])
+        return pd.Series([is_kept(*judge(t, words, model)) for t in texts], dtype=bool)
 
     return docs.filter(has_language("text"))

@@ -209,6 +209,17 @@ def test_langid(spark, docs):
     assert langid.accepted(df, model).filter("doc_id between 100 and 102").count() == 0
 
 
+def test_language_stage_rejects_junk(spark):
+    """Junk made of letters and a language that was not learned go; clean texts stay, also short ones and those of the held-out fold."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    clean = [(i, x, "en") for i, x in enumerate(texts(300, 12))] + [(300 + i, " ".join(r.choices("der hund lief über straße und brücke durch nacht".split(), k=r.randint(3, 60))), "de") for i in range(300)]
+    bad = [" ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(40)) for _ in range(20)] + ["кошка сидела на старом ковре у реки " * 5, "wszyscy ludzie rodzą się wolni i równi " * 8, "123 456", "", None]
+    df = spark.createDataFrame(clean + [(1000 + i, x, None) for i, x in enumerate(bad)], "doc_id long, text string, lang string")
+    assert sorted(q["doc_id"] for q in corpus_pipeline.in_a_language(spark, df, "").collect()) == [x[0] for x in clean]
+
+
 def test_toxicity():
     r = random.Random(4)
     bad = [w.split() for w in texts(200, 8)]
