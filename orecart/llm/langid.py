@@ -1,6 +1,6 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-All languages share one table of slots; a slot is a 64-bit mask with a bit a language. Adding an n-gram for a language sets its bit in
+All languages share one table of slots; a slot is a mask with a bit a language, in as many 64-bit words as the languages need. Adding an n-gram for a language sets its bit in
 the n-gram's slots; a lookup is the AND of those slots, so it gives all languages that hold the n-gram at once. Each language's share
 of n-grams found is corrected for the rate at which its filter says yes to anything; the largest share decides.
 """
@@ -51,23 +51,22 @@ def slots(gram: str) -> list[int]:
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # of uint64 masks
+    table: np.ndarray  # of uint64 masks, a row for each 64 languages
     false: np.ndarray  # a language's chance to hold an n-gram that was not added
 
 
 def build(counts: pd.DataFrame) -> Filters:
-    """Filters from (lang, gram, n); at most 64 languages, those with the most n-grams first, then by name."""
+    """Filters from (lang, gram, n), languages by name."""
     sizes = counts.groupby("lang")["n"].sum()
-    languages = sorted(sorted(sizes.index, key=lambda x: (-sizes[x], x))[:64])
-    counts = counts[counts["lang"].isin(languages)].copy()
+    languages, counts = sorted(sizes.index), counts.copy()
     counts["freq"] = counts["n"] / counts["lang"].map(sizes)
     counts = counts[counts["freq"] >= SHARE * counts.groupby("gram")["freq"].transform("max")]
-    table = np.zeros(SLOTS, np.uint64)
+    table = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
     for bit, lang in enumerate(languages):
         own = counts[(counts["lang"] == lang) & (counts["n"] >= LEAST)].sort_values(["n", "gram"], ascending=[False, True]).head(KEEP)
         at = np.array([s for g in own["gram"] for s in slots(g)], np.int64)
-        table[at] |= np.uint64(1) << np.uint64(bit)
-    share = np.array([((table >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
+        table[bit // 64, at] |= np.uint64(1) << np.uint64(bit % 64)
+    share = np.array([((table[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(languages))])
     return Filters(languages, table, share**HASHES)
 
 
@@ -81,7 +80,9 @@ class GramMasks(dict):
         if len(self) > MEMO:
             self.clear()
         a, b, c = slots(gram)
-        mask, out = self.table[a] & self.table[b] & self.table[c], 1
+        mask, out = 0, 1
+        for k, words in enumerate(self.table):
+            mask |= (words[a] & words[b] & words[c]) << 64 * k
         while mask:
             low = mask & -mask
             out |= 1 << 32 * low.bit_length()
@@ -125,7 +126,7 @@ def decide(text: str | None, words: WordCounts, model: Filters) -> tuple[str, fl
 def _drawn(docs: DataFrame, folds: int, held: int, sample_rows: int) -> DataFrame | None:
     """text, lang and held_back of drawn training rows: fold other than `held`, lang not null; None if there are no such rows."""
     train = docs.select(F.col("doc_id"), "text", "lang").filter((fold("doc_id", folds) != held) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     if not sizes:
         return None
     sample = sample_rows * HELD_BACK / (HELD_BACK - 1)
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPL
     """
     drawn = _drawn(docs, folds, held, sample_rows)
     if drawn is None:
-        return Filters([], np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Filters([], np.zeros((0, SLOTS), np.uint64), np.zeros(0))
     drawn = drawn.filter("not held_back").select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +171,7 @@ def predict(docs: DataFrame, model: Filters, folds: int = 4, held: int = 2) -> D
     """doc_id, held_out, lang_pred and score of each row of (doc_id, text).
 
     A null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned. Rows are independent: repeated
-    rows and null ids get their own results. The filters sent out have a fixed size.
+    rows and null ids get their own results. The filters sent out have a fixed size for each 64 languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false))
     key = ("langid", uuid.uuid4().hex)

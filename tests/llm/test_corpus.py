@@ -220,6 +220,17 @@ def test_language_stage_rejects_junk(spark):
     assert sorted(q["doc_id"] for q in corpus_pipeline.in_a_language(spark, df, "").collect()) == [x[0] for x in clean]
 
 
+def test_langid_learns_more_than_64_languages(spark):
+    r = random.Random(13)
+    rows = []
+    for k in range(70):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(r.choices(words, k=30)), f"l{k:02}") for i in range(12 if k else 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    got = {q["doc_id"]: q["lang_pred"] for q in langid.predict(df, langid.fit(df)).collect()}
+    assert got == {d: lang for d, _, lang in rows}
+
+
 def test_toxicity():
     r = random.Random(4)
     bad = [w.split() for w in texts(200, 8)]
