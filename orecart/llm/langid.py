@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from orecart.llm.common import fold, per_worker
 
 GRAMS = (2, 3, 4)
-#: Rows of each language that are learned from (expected number: rows are drawn by a hash of text), n-grams kept for each language,
+#: Rows of each language that are learned from (expected number: rows are drawn by a hash of id and text), n-grams kept for each language,
 #: and how frequent an n-gram must be in a language, as a share of its largest frequency in any, to be in the language's filter.
 SAMPLE_ROWS, KEEP, SHARE, LEAST = 3000, 40_000, 0.4, 3
 SLOTS, HASHES = 1 << 20, 3
@@ -126,22 +126,33 @@ def decide(text: str | None, words: WordCounts, model: Filters) -> tuple[str, fl
 def _drawn(docs: DataFrame, folds: int, held: int, sample_rows: int) -> DataFrame | None:
     """text, lang and held_back of drawn training rows: fold other than `held`, lang not null; None if there are no such rows."""
     train = docs.select(F.col("doc_id"), "text", "lang").filter((fold("doc_id", folds) != held) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
-    if not sizes:
+    # copies of a text are rows of their own: by their ids or, without one, by where they stand in the table
+    train = train.withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    at = lambda name, n: F.pmod(F.xxhash64("doc_id", "row", "text", F.lit(name)), F.lit(n))
+    train = train.withColumn("dice", at("lang sample", 1 << 30))
+    # the least dice of each of 64 parts of a language: so many of them are drawn whatever the rate
+    parts: dict[str, list] = {}
+    for r in train.groupBy("lang", at("part", LEAST_ROWS).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("dice").alias("least")).collect():
+        parts.setdefault(r["lang"], []).append((r["least"], r["n"]))
+    if not parts:
         return None
-    sample = sample_rows * HELD_BACK / (HELD_BACK - 1)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (sample if n >= LEAST_ROWS else sample_rows) / n))])
-    drawn = train.filter(F.pmod(F.xxhash64("text", F.lit("lang sample")), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
-    large = [lang for lang, n in sizes.items() if n >= LEAST_ROWS]
-    back = F.col("lang").isin(large) & (F.pmod(F.xxhash64("doc_id", "text", F.lit("held back")), F.lit(HELD_BACK)) == 0)
+    below, lowest, large = [], [], []
+    for lang, own in sorted(parts.items()):
+        n, least = sum(n for _, n in own), sorted(d for d, _ in own)
+        sample = sample_rows * HELD_BACK / (HELD_BACK - 1) if n >= LEAST_ROWS else sample_rows
+        below += [F.lit(lang), F.lit(int(max(min(1.0, sample / n) * (1 << 30), least[min(len(least), LEAST_ROWS // 2) - 1] + 1)))]
+        lowest += [F.lit(lang), F.lit(least[0])]
+        large += [lang] if n >= LEAST_ROWS else []
+    drawn = train.filter(F.col("dice") < F.create_map(*below)[F.col("lang")])
+    back = F.col("lang").isin(large) & (at("held back", HELD_BACK) == 0) & (F.col("dice") != F.create_map(*lowest)[F.col("lang")])
     return drawn.select("text", "lang", back.alias("held_back"))
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Filters from training rows of (doc_id, text, lang): fold other than `held`, lang not null.
 
-    Each language gives about `sample_rows` rows, drawn by a hash of the text at a rate from an exact count, so the work is bounded
-    whatever the corpus. n-grams are counted per task first, then summed by n-gram. Rows that are held back serve `floors`.
+    Each language gives about `sample_rows` rows, drawn by a hash of id and text at a rate from an exact count, so the work is bounded
+    whatever the corpus, and half of LEAST_ROWS at least where it has as many different rows. n-grams are counted per task first, then summed by n-gram. Rows that are held back serve `floors`.
     """
     drawn = _drawn(docs, folds, held, sample_rows)
     if drawn is None:

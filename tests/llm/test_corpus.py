@@ -231,6 +231,17 @@ def test_langid_learns_more_than_64_languages(spark):
     assert got == {d: lang for d, _, lang in rows}
 
 
+def test_langid_learns_from_copies(spark):
+    """A language that consists of copies of three texts is learned, from about as many rows as are asked for, with ids and without."""
+    t = texts(3, 14)
+    for ids in (True, False):
+        rows = [(i if ids else None, t[i % 3], "en") for i in range(20_000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert langid.fit(df, held=3, sample_rows=5).languages == ["en"]
+        assert 32 <= langid._drawn(df, 4, 3, 5).count() < 200
+        assert 250 < langid._drawn(df, 4, 3, 300).count() < 450
+
+
 def test_toxicity():
     r = random.Random(4)
     bad = [w.split() for w in texts(200, 8)]
