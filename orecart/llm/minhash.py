@@ -177,17 +177,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     all_ = scratch.write(sketches(docs, size), "sketches")
     named = all_.filter("n_shingles > 0 and doc_id is not null")
     # classes of equal sets; the digest is 128 bits and the size
-    least = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("cid"))
-    classes = least.select("cid", F.col("n_shingles").alias("n"), "d1", "d2")
+    least = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc"))
+    # numbered once, when they are written: one id may have several texts
+    classes = scratch.write(least.select(F.monotonically_increasing_id().alias("cid"), "doc", F.col("n_shingles").alias("n"), "d1", "d2"), "digests")
     held = scratch.write(
-        named.join(classes.withColumnRenamed("n", "n_shingles"), ["n_shingles", "d1", "d2"]).filter("doc_id = cid").groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
+        named.join(classes.withColumnRenamed("n", "n_shingles"), ["n_shingles", "d1", "d2"]).filter("doc_id = doc").groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
         "classes",
     )
     exploded = held.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     first = exploded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     active = scratch.write(exploded.join(first, "bucket").select("band", "bucket", "cid", "n", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n")), "active")
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("binary").alias("data"))
-    digests = scratch.write(classes.select("cid", "n", "d1"), "digests")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("data"))
+    digests = classes.select("cid", "doc", "n", "d1")
     ratio = percent / 100
 
     star = active.filter((F.col("cid") != F.col("p_cid")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
@@ -210,13 +211,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
         parts = scratch.write(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"all-{step}"), f"parts-{step}")
         scratch.drop(f"apart-{step}")
     component = parts.select(F.col("node").alias("cid"), "component")
-    by_class = classes.join(component, "cid", "left").select(F.col("n").alias("n_shingles"), "d1", "d2", F.coalesce("component", "cid").alias("class_component"))
+    named_by = component.join(classes, "cid").groupBy("component").agg(F.min("doc").alias("least"))
+    by_class = classes.join(component.join(named_by, "component"), "cid", "left").select(F.col("n").alias("n_shingles"), "d1", "d2", F.coalesce("least", "doc").alias("class_component"))
     out = all_.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["n_shingles", "d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Whole shingle sets, as sorted hashes, of the wanted classes (cid, n, d1)."""
+    """Whole shingle sets, as sorted hashes, of the wanted classes (cid, doc, n, d1), from the texts of their least ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = per_worker(("shingles",), WordHashes)
@@ -228,7 +230,7 @@ def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     rows.append((cid, s.tobytes()))
             yield pd.DataFrame(rows, columns=["cid", "shingles"])
 
-    return texts.join(wanted, "cid").dropDuplicates(["cid", "data"]).mapInPandas(run, "cid long, shingles binary")
+    return texts.join(wanted, "doc").dropDuplicates(["cid", "data"]).mapInPandas(run, "cid long, shingles binary")
 
 
 def _ids(pairs: DataFrame) -> DataFrame:

@@ -102,6 +102,13 @@ def test_minhash(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_keeps_both_texts_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (5, c + " tail"), (0, b + " end")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((q["doc_id"], q["component_id"], q["kept"]) for q in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 0, False), (4, 4, True), (5, 4, False)]
+
+
 def test_chance_equality_is_small():
     assert minhash.chance_equal(np.array([1000]), np.array([1000]))[0] < 0.01
     s = np.random.default_rng(0).integers(0, 2**63, 3000).astype(np.uint64)
