@@ -32,7 +32,7 @@ BLOCK = 512
 #: Registers that are compared first; only pairs that these leave likely are estimated from all.
 FIRST = 128
 #: Standard errors of the estimate that a pair may fall short of the threshold by and still be confirmed on whole sets.
-SLACK = 4.0
+SLACK = 5.0
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

@@ -109,6 +109,17 @@ def test_minhash_keeps_both_texts_of_an_id(spark):
     assert sorted((q["doc_id"], q["component_id"], q["kept"]) for q in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 0, False), (4, 4, True), (5, 4, False)]
 
 
+def test_sketch_gates_miss_few_pairs():
+    """Both gates together reject a pair at exactly the threshold less often than the bands miss it (3e-5)."""
+    import math
+
+    missed = 0.0
+    for count in (minhash.FIRST, minhash.BUCKETS):
+        floor = 0.8 - minhash.SLACK * math.sqrt(0.8 * 0.2 / count)
+        missed += sum(math.comb(count, k) * 0.8**k * 0.2 ** (count - k) for k in range(math.ceil(floor * count)))
+    assert missed < 3e-5, missed
+
+
 def test_chance_equality_is_small():
     assert minhash.chance_equal(np.array([1000]), np.array([1000]))[0] < 0.01
     s = np.random.default_rng(0).integers(0, 2**63, 3000).astype(np.uint64)
