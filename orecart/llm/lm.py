@@ -2,11 +2,14 @@
 
 P_n(w | context) = L_n f_n + (1 - L_n) P_n-1, down to 1 / (V + 1): f_n are maximum-likelihood estimates from training counts, and the weights
 L_n depend on the bucket (binary logarithm) of the context's frequency. Weights are learned by expectation-maximisation on training
-documents whose counts are deleted from the estimates meanwhile (one fold); scores then use all training counts.
+documents whose counts are deleted from the estimates meanwhile (one fold); scores then use all training counts. A context that was never
+seen has weight 0, so all of the mass goes to the shorter context.
 
-Counts meet texts without a table of counts on any one machine. Each task cuts its documents into chunks of bounded size and sends each
-distinct n-gram of a chunk once, packed with its neighbours by bucket of hash. A bucket adds up what all chunks sent and answers
+Counts meet texts without a table of counts on any one machine. Documents are cut into chunks of bounded size, written once. Each chunk
+sends each of its distinct n-grams once, packed with its neighbours by bucket of hash. A bucket adds up what all chunks sent and answers
 each chunk with the totals of its n-grams, in order. So a frequent word is one entry a chunk, and a row holds thousands of n-grams.
+Answers then meet their chunks: first those of the deleted fold, for the weights, then all, for the scores. Documents of the deleted fold
+have chunks of their own, so learning the weights reads no others.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from orecart.llm.common import Scratch, fold, lowered_words, per_worker, streame
 from orecart.llm.minhash import WordHashes, mix
 
 #: Tokens in a chunk, text bytes for each bucket of counts, buckets of context frequency, bins of an octave in EM's table.
-CHUNK, BUCKET_BYTES, LEVELS, BINS = 1 << 21, 24_000_000, 24, 8
+CHUNK, BUCKET_BYTES, LEVELS, BINS = 1 << 20, 24_000_000, 48, 32
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 TRAIN, DELETED, HELD = 0, 1, 2
-ROWS = "key long, src long, kind int, part int, v long, n long, blob binary"
-DOCS, COUNTS, ANSWERS, TOTALS = 0, 1, 2, 3
+SENT = "key long, src long, part int, blob binary"
+ANSWERS = "src long, part int, b long, blob binary, v long, n long, m long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -50,10 +54,7 @@ def expand(blob: bytes) -> list[np.ndarray]:
 
 
 def ngrams(words: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each token; before a document's first token there are start marks.
-
-    Words have all 64 bits, longer n-grams the upper `bits`, enough to expect less than one clash in the corpus.
-    """
+    """Hash, of `bits` bits, of the n-gram that ends at each token; before a document's first token there are start marks."""
     if order == 1:
         return words
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -70,46 +71,72 @@ def _bucket(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _send(order: int, buckets: int, bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, task, chunk = per_worker(("shingles",), WordHashes), TaskContext.get().partitionId(), 0
-        docs, kinds, words, tokens = [], [], [], 0
+def _cut(bits: int):
+    """Chunks of documents: ids, folds, lengths, the hashes of the distinct words and, for each token, which of these it is.
 
-        def flush():
-            nonlocal chunk, tokens
-            src = task << 24 | chunk
+    The last bit of a chunk's number tells whether it holds documents of the deleted fold.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, task, made = per_worker(("shingles",), WordHashes), TaskContext.get().partitionId(), 0
+        waiting = {False: ([], [], []), True: ([], [], [])}
+        tokens = {False: 0, True: 0}
+
+        def flush(deleted: bool) -> pd.DataFrame:
+            nonlocal made
+            docs, kinds, words = waiting[deleted]
+            seen, where = np.unique(np.concatenate(words), return_inverse=True)
+            ids = np.array([d if d is not None else -1 for d in docs], np.int64)
+            null = np.array([d is None for d in docs], np.uint8)
             lengths = np.array([len(w) for w in words], np.int64)
-            flat, kind = np.concatenate(words), np.repeat(np.array(kinds), lengths)
-            rows = []
-            for n in range(1, order + 1):
-                seen, where = np.unique(ngrams(flat, lengths, n, bits), return_inverse=True)
-                if n == 1:
-                    ids = np.array([d if d is not None else -1 for d in docs], np.int64)
-                    null = np.array([d is None for d in docs], np.uint8)
-                    packed = squeeze(ids, null, np.array(kinds, np.uint8), lengths, np.diff(seen, prepend=np.uint64(0)), where.astype(np.uint32))
-                    rows.append((-1 - src, src, DOCS, 0, 0, 0, packed))
-                train = np.bincount(where, kind != HELD, len(seen)).astype(np.uint32)
-                deleted = np.bincount(where, kind == DELETED, len(seen)).astype(np.uint32)
-                bucket = _bucket(seen, buckets, 64 if n == 1 else bits)
-                by = np.argsort(bucket, kind="stable")
-                for b, own in zip(*_runs(bucket[by]), strict=True):
-                    i = by[own]
-                    rows.append((n * buckets + int(b), src, COUNTS, n, 0, 0, squeeze(np.diff(seen[i], prepend=np.uint64(0)), train[i], deleted[i])))
-            chunk, tokens = chunk + 1, 0
-            docs.clear(), kinds.clear(), words.clear()
-            return pd.DataFrame(rows, columns=[x.split()[0] for x in ROWS.split(", ")])
+            blob = squeeze(ids, null, np.array(kinds, np.uint8), lengths, np.diff(seen, prepend=np.uint64(0)), where.astype(np.uint32))
+            src = (task << 24 | made) << 1 | deleted
+            made, tokens[deleted], waiting[deleted] = made + 1, 0, ([], [], [])
+            return pd.DataFrame({"src": [src], "blob": [blob]})
 
         for batch in batches:
             for doc, kind, data in zip(batch["doc_id"].astype("object"), batch["kind"], batch["data"], strict=True):
-                split = lowered_words(data)
+                split, own = lowered_words(data), kind == DELETED
+                docs, kinds, words = waiting[own]
                 docs.append(None if doc is None or doc != doc else int(doc))
                 kinds.append(kind)
-                words.append(np.append(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)), END))
-                tokens += len(split) + 1
-                if tokens >= CHUNK:
-                    yield flush()
-        if docs:
-            yield flush()
+                words.append(np.append(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)), END) >> np.uint64(64 - bits))
+                tokens[own] += len(split) + 1
+                if tokens[own] >= CHUNK:
+                    yield flush(own)
+        for own in (False, True):
+            if waiting[own][0]:
+                yield flush(own)
+
+    return run
+
+
+def _opened(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A chunk's ids, nulls, folds and lengths; its distinct words; and which of them each token is."""
+    ids, null, kinds, lengths, gaps, where = expand(blob)
+    return [ids, null, kinds, lengths], np.cumsum(gaps, dtype=np.uint64), where
+
+
+def _grams(words: np.ndarray, where: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n the chunk's distinct n-grams and which of them ends at each token."""
+    yield 1, words, where
+    flat = words[where]
+    for n in range(2, order + 1):
+        yield n, *np.unique(ngrams(flat, lengths, n, bits), return_inverse=True)
+
+
+def _send(order: int, buckets: int, bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for src, blob in zip(batch["src"], batch["blob"], strict=True):
+                (_, _, kinds, lengths), words, where = _opened(blob)
+                kind, rows = np.repeat(kinds, lengths), []
+                for n, seen, at in _grams(words, where, lengths, order, bits):
+                    train = np.bincount(at, kind != HELD, len(seen)).astype(np.uint32)
+                    deleted = np.bincount(at, kind == DELETED, len(seen)).astype(np.uint32)
+                    for b, own in zip(*_runs(_bucket(seen, buckets, bits)), strict=True):
+                        rows.append((n * buckets + int(b), src, n, squeeze(np.diff(seen[own], prepend=np.uint64(0)), train[own], deleted[own])))
+                yield pd.DataFrame(rows, columns=["key", "src", "part", "blob"])
 
     return run
 
@@ -121,64 +148,56 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, list[slice]]:
 
 
 def _add_up(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Totals of each bucket's n-grams, sent back to the chunks; documents pass by."""
-    docs = b[b["kind"] == DOCS]
-    if len(docs):
-        yield docs.assign(key=docs["src"])
-    for _, own in b[b["kind"] == COUNTS].groupby("key", sort=False):
+    """Totals of each bucket's n-grams, in the order that each chunk sent them; v, n and m are a bucket's distinct training words, training
+    tokens and deleted tokens, in one row of it."""
+    for key, own in b.groupby("key", sort=False):
         got = [expand(x) for x in own["blob"]]
         seen, where = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
-        train = np.bincount(where, np.concatenate([g[1] for g in got]), len(seen)).astype(np.int64)
-        deleted = np.bincount(where, np.concatenate([g[2] for g in got]), len(seen)).astype(np.int64)
+        train, deleted = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+        np.add.at(train, where, np.concatenate([g[1] for g in got]))
+        np.add.at(deleted, where, np.concatenate([g[2] for g in got]))
         ends = np.cumsum([len(g[0]) for g in got])
-        out = own.assign(key=own["src"], kind=ANSWERS, v=own["key"], n=0)
-        out["blob"] = [squeeze(train[w], deleted[w]) for w in np.split(where, ends[:-1])]
-        yield out
+        out = own[["src", "part"]].assign(b=key, blob=[squeeze(train[w], deleted[w]) for w in np.split(where, ends[:-1])], v=0, n=0, m=0)
         if own["part"].iloc[0] == 1:
-            yield out.head(1).assign(key=-1, kind=TOTALS, v=int((train > 0).sum()), n=int(train.sum()), part=int(0), blob=squeeze(np.array([deleted.sum()])))
-
-
-def _assemble(order: int, buckets: int, bits: int):
-    """One row a chunk: its documents and, for each token, the totals of the n-grams that end there."""
-
-    def run(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for row in b[b["kind"] == TOTALS].itertuples():
-            yield pd.DataFrame({"v": [row.v], "n": [row.n], "deleted": [int(expand(row.blob)[0][0])], "blob": [None]})
-        for _, own in b[b["kind"] != TOTALS].groupby("src", sort=False):
-            ids, null, kinds, lengths, gaps, where = expand(own.loc[own["kind"] == DOCS, "blob"].iloc[0])
-            words = np.cumsum(gaps, dtype=np.uint64)
-            flat = words[where]
-            arrays = [ids, null, kinds, lengths]
-            for n in range(1, order + 1):
-                seen, at = (words, where) if n == 1 else np.unique(ngrams(flat, lengths, n, bits), return_inverse=True)
-                by = np.argsort(_bucket(seen, buckets, 64 if n == 1 else bits), kind="stable")
-                answers = own[(own["kind"] == ANSWERS) & (own["part"] == n)].sort_values("v")
-                got = [expand(x) for x in answers["blob"]]
+            out.iloc[0, -3:] = [int((train > 0).sum()), int(train.sum()), int(deleted.sum())]
+        yield out
+
+
+def _met(chunks: DataFrame, answers: DataFrame, tasks: int, order: int, bits: int, each, schema: str) -> DataFrame:
+    """`each` on the arrays of every chunk: ids, nulls, folds, lengths and, for each n, the training and deleted totals of the n-gram that
+    ends at each token."""
+    both = chunks.select("src", F.lit(0).alias("part"), F.lit(0).cast("long").alias("b"), "blob").unionByName(answers.select("src", "part", "b", "blob"))
+
+    def assemble(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, own in b.groupby("src", sort=False):
+            arrays, words, where = _opened(own["blob"].iloc[0])  # the chunk itself is part 0
+            for n, seen, at in _grams(words, where, arrays[3], order, bits):
+                got = [expand(x) for x in own.loc[own["part"] == n, "blob"]]  # in the order of the buckets, as the n-grams are
                 for k in (0, 1):
-                    total = np.zeros(len(seen), np.int64)
-                    total[by] = np.concatenate([g[k] for g in got])
-                    arrays.append(total[at].astype(np.uint32))
-            yield pd.DataFrame({"v": [0], "n": [0], "deleted": [0], "blob": [squeeze(*arrays)]})
+                    total = np.concatenate([g[k] for g in got])
+                    if len(total) != len(seen):
+                        raise ValueError("a chunk and its answers do not match")
+                    arrays.append(total[at])
+            yield from each(arrays)
 
-    return run
+    return both.repartition(tasks, "src").sortWithinPartitions("src", "part", "b").mapInPandas(streamed(["src"], assemble), schema)
 
 
 def _estimates(arrays: list[np.ndarray], order: int, size: tuple[int, int, int, int], deleted: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """(f_n, bucket of the context's frequency) of each token, for n = 1 up to the order. size: V, N, deleted tokens, documents counted."""
     lengths = arrays[3]
     first = np.cumsum(lengths) - lengths
-    counts = [(arrays[4 + 2 * k].astype(np.int64) - (arrays[5 + 2 * k].astype(np.int64) if deleted else 0)) for k in range(order)]
+    counts = [arrays[4 + 2 * k] - arrays[5 + 2 * k] if deleted else arrays[4 + 2 * k] for k in range(order)]
     out = []
     for n in range(1, order + 1):
         if n == 1:
             total = max(1, size[1] - (size[2] if deleted else 0))
-            out.append((counts[0] / total, np.zeros(len(counts[0]), np.int64)))
+            out.append((counts[0] / total, np.ones(len(counts[0]), np.int64)))
             continue
         context = np.empty(len(counts[0]), np.int64)
         context[1:] = counts[n - 2][:-1]
         context[first] = size[3]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            f = np.where(context > 0, np.minimum(1, counts[n - 1] / np.maximum(context, 1)), 0.0)
+        f = np.where(context > 0, np.minimum(1, counts[n - 1] / np.maximum(context, 1)), 0.0)
         out.append((f, np.minimum(np.ceil(np.log2(np.maximum(context, 0) + 1)), LEVELS - 1).astype(np.int64)))
     return out
 
@@ -191,10 +210,10 @@ def _mixed(estimates: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndar
     return p
 
 
-def learn_weights(ratios: np.ndarray, counts: np.ndarray, rounds: int = 100) -> float:
-    """EM for one weight: of f against the lower order, given how often each ratio f / P occurs among deleted tokens."""
+def learn_weights(ratios: np.ndarray, counts: np.ndarray, rounds: int = 100) -> float | None:
+    """EM for one weight: of f against the lower order, given how often each ratio f / P occurs among deleted tokens. None without any."""
     if not counts.sum():
-        return 0.5
+        return None
     w = 0.5
     for _ in range(rounds):
         w = float((counts * (w * ratios / (w * ratios + 1 - w))).sum() / counts.sum())
@@ -202,12 +221,20 @@ def learn_weights(ratios: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
     return w
 
 
+def filled(weights: list[float | None]) -> np.ndarray:
+    """Weights by bucket: 0 for contexts never seen (bucket 0); a bucket without deleted tokens takes the nearest one's, the lower of two."""
+    known = [b for b, w in enumerate(weights) if b and w is not None]
+    near = lambda b: weights[min(known, key=lambda k: (abs(k - b), k))] if known else 0.5
+    return np.array([0.0 if not b else near(b) for b in range(len(weights))])
+
+
 def score(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, deleted_fold: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of (doc_id, text).
 
     Training rows are those outside fold `held`; those of `deleted_fold` also teach the weights. Null and empty texts are one end mark.
     Null ids are in fold 0; repeated rows count and are scored each. Without training rows probabilities come from 1 / (V + 1) = 1.
-    Other columns are ignored. The driver gets sums and a table of EM counts of fixed size.
+    An empty table gives no rows; a text of any length is scored whole. Other columns are ignored, whatever their names. The driver gets
+    sums and a table of EM counts of fixed size.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
@@ -216,16 +243,16 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, delete
     text = docs.select(F.col("doc_id").cast("long"), kind.alias("kind"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     size = text.agg(F.sum(F.length("data")), F.sum((F.col("kind") != HELD).cast("long")), F.sum((F.col("kind") == DELETED).cast("long"))).first()
     if size[0] is None:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return spark.createDataFrame([], SCORES)
     buckets = max(1, -(-int(size[0]) // BUCKET_BYTES))
-    tasks = max(buckets * order, 1)
     bits = min(64, max(40, 2 * int(size[0]).bit_length() - 3))  # fewer n-grams than bytes / 2, so their pairs are fewer than 2 ** bits
-    sent = text.mapInPandas(_send(order, buckets, bits), ROWS).repartition(tasks, "key").sortWithinPartitions("key")
-    answered = sent.mapInPandas(streamed(["key"], _add_up), ROWS).repartition(buckets, "key").sortWithinPartitions("key")
-    kept = scratch.write(answered.mapInPandas(streamed(["key"], _assemble(order, buckets, bits)), "v long, n long, deleted long, blob binary"), "counted")
-    sums = kept.agg(F.sum("v"), F.sum("n"), F.sum("deleted")).first()
-    v, n, n_deleted = (int(x or 0) for x in sums)
-    chunks = kept.filter("blob is not null").select("blob")
+    chunks = scratch.write(text.mapInPandas(_cut(bits), "src long, blob binary"), "chunks")
+    sent = chunks.mapInPandas(_send(order, buckets, bits), SENT).repartition(max(buckets * order, 1), "key").sortWithinPartitions("key", "src")
+    answers = scratch.write(sent.mapInPandas(streamed(["key"], _add_up), ANSWERS), "answers")
+    v, n, n_deleted = (int(x or 0) for x in answers.agg(F.sum("v"), F.sum("n"), F.sum("m")).first())
+    odd = F.col("src") % 2 == 1
+    own = _met(chunks.filter(odd), answers.filter(odd), buckets, order, bits, lambda arrays: [pd.DataFrame({"blob": [squeeze(*arrays)]})], "blob binary")
+    deleted = scratch.write(own, "deleted")
     weights: list[np.ndarray] = []
     for level in range(order):
         chosen = list(weights)
@@ -233,39 +260,34 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held: int = 2, delete
         def table(batches: Iterator[pd.DataFrame], level=level, chosen=chosen) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for blob in batch["blob"]:
-                    arrays = expand(blob)
-                    use = np.repeat(arrays[2] == DELETED, arrays[3])
-                    if not use.any():
-                        continue
-                    est = _estimates(arrays, order, (v, n, n_deleted, size[1] - size[2]), True)
-                    below = _mixed(est, chosen, v)[use]
-                    f, bucket = est[level][0][use], est[level][1][use]
+                    est = _estimates(expand(blob), order, (v, n, n_deleted, size[1] - size[2]), True)
+                    below = _mixed(est, chosen, v)
+                    f, bucket = est[level]
                     with np.errstate(divide="ignore"):
-                        bin_ = np.where(f > 0, np.clip(np.round(BINS * np.log2(f / below)), -40 * BINS, 60 * BINS), -41 * BINS).astype(np.int64)
-                    cells, c = np.unique(np.stack([bucket, bin_]), axis=1, return_counts=True)
-                    yield pd.DataFrame({"bucket": cells[0], "bin": cells[1], "c": c})
+                        bin_ = np.where(f > 0, np.clip(np.round(BINS * np.log2(f / below)), -40 * BINS, 80 * BINS), -41 * BINS).astype(np.int64)
+                    cells, c = np.unique(bucket << 32 | (bin_ + (41 * BINS)), return_counts=True)
+                    yield pd.DataFrame({"bucket": cells >> 32, "bin": (cells & 0xFFFFFFFF) - 41 * BINS, "c": c})
 
-        got = chunks.mapInPandas(table, "bucket long, bin long, c long").groupBy("bucket", "bin").agg(F.sum("c").alias("c")).toPandas()
+        got = deleted.mapInPandas(table, "bucket long, bin long, c long").groupBy("bucket", "bin").agg(F.sum("c").alias("c")).toPandas()
         ratio = np.where(got["bin"] > -41 * BINS, 2.0 ** (got["bin"] / BINS), 0.0)
-        weights.append(np.array([learn_weights(ratio[got["bucket"] == b], got["c"].to_numpy()[got["bucket"] == b]) for b in range(LEVELS)]))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for blob in batch["blob"]:
-                arrays = expand(blob)
-                lengths, c = arrays[3], arrays[4].astype(np.int64)
-                first = np.cumsum(lengths) - lengths
-                p = _mixed(_estimates(arrays, order, (v, n, n_deleted, size[1]), False), weights, v)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.Series(arrays[0]).astype("Int64").mask(arrays[1] == 1),
-                        "held_out": arrays[2] == HELD,
-                        "n_tokens": lengths,
-                        "n_known": np.add.reduceat((c > 0).astype(np.int64), first),
-                        "train_tokens": n,
-                        "base_score": np.add.reduceat(np.log10((c + 1) / (n + v + 1)), first),
-                        "score": np.add.reduceat(np.log10(p), first),
-                    }
-                )
-
-    return chunks.mapInPandas(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        weights.append(filled([learn_weights(ratio[got["bucket"] == b], got["c"].to_numpy()[got["bucket"] == b]) for b in range(LEVELS)]))
+    if not n:  # nothing to mix in
+        weights = [np.zeros(LEVELS)] * order
+
+    def scored(arrays: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        lengths, c = arrays[3], arrays[4]
+        first = np.cumsum(lengths) - lengths
+        p = _mixed(_estimates(arrays, order, (v, n, n_deleted, size[1]), False), weights, v)
+        yield pd.DataFrame(
+            {
+                "doc_id": pd.Series(arrays[0]).astype("Int64").mask(arrays[1] == 1),
+                "held_out": arrays[2] == HELD,
+                "n_tokens": lengths,
+                "n_known": np.add.reduceat((c > 0).astype(np.int64), first),
+                "train_tokens": n,
+                "base_score": np.add.reduceat(np.log10((c + 1) / (n + v + 1)), first),
+                "score": np.add.reduceat(np.log10(p), first),
+            }
+        )
+
+    return _met(chunks, answers, buckets, order, bits, scored, SCORES)

@@ -79,20 +79,95 @@ def test_bpe_table(spark, docs):
     assert got[100]["n_tokens"] == 0 and got[202]["decoded_sha256"] == hashlib.sha256(" ".join(WORDS * 900).encode()).hexdigest()
 
 
-def test_lm(spark, docs):
+def plain_lm(rows, order, folds=7, held=2, deleted_fold=3):
+    """Deleted interpolation by its definition, on counts in dicts: {(id, text): (n_tokens, n_known, base, score)}."""
     import math
     from collections import Counter
 
-    rows = docs.select("doc_id", "text").collect()
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
-    split = lambda t: [*(t or "").encode().lower().split(), None]
-    c = Counter(w for d, t in rows if not held(d) for w in split(t))
-    n, v = sum(c.values()), len(c)
-    got = lm.score(docs).collect()
-    assert len(got) == len(rows) and {r["train_tokens"] for r in got} == {n}
-    want = sorted(round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t)), 6) for _, t in rows)
-    assert sorted(round(r["base_score"], 6) for r in got) == want and all(r["score"] < 0 for r in got)
+    number = lambda d: zlib.crc32(str(d).encode()) % folds if d is not None else 0
+    split = lambda t: [*(t or "").encode().lower().split(), b"</s>"]
+    train = [split(t) for d, t in rows if number(d) != held]
+    own = [split(t) for d, t in rows if number(d) == deleted_fold]
+
+    def counted(texts, n):
+        padded = [[None] * (n - 1) + t for t in texts]
+        return Counter(tuple(p[i : i + n]) for p in padded for i in range(len(p) - n + 1))
+
+    full, gone = [counted(train, n) for n in range(1, order + 1)], [counted(own, n) for n in range(1, order + 1)]
+    tokens, docs = sum(full[0].values()), len(train)
+    v, deleted = len(full[0]), sum(gone[0].values())
+
+    def parts(t, delete):
+        """For each token of a text and each n: f_n and the bucket of its context."""
+        for i in range(len(t)):
+            out = []
+            for n in range(1, order + 1):
+                gram = tuple((([None] * (n - 1)) + t)[i : i + n])
+                c = full[n - 1][gram] - (gone[n - 1][gram] if delete else 0)
+                if n == 1:
+                    out.append((c / max(1, tokens - deleted * delete), 1))
+                    continue
+                if i == 0:
+                    context = docs - len(own) * delete
+                else:
+                    before = tuple((([None] * (n - 2)) + t)[i - 1 : i + n - 2])
+                    context = full[n - 2][before] - (gone[n - 2][before] if delete else 0)
+                out.append((c / context if context > 0 else 0.0, math.ceil(math.log2(max(context, 0) + 1))))
+            yield out
+
+    weights = []
+    for level in range(order):
+        seen = {}
+        for t in own:
+            for x in parts(t, True):
+                p = 1 / (v + 1)
+                for (f, b), w in zip(x, weights, strict=False):
+                    p = w[b] * f + (1 - w[b]) * p
+                seen.setdefault(x[level][1], []).append(x[level][0] / p)
+        learned = []
+        for b in range(lm.LEVELS):
+            w = 0.5
+            for _ in range(100):
+                w = sum(w * r / (w * r + 1 - w) for r in seen[b]) / len(seen[b]) if b in seen else None
+                if w is None:
+                    break
+                w = min(max(w, 1e-6), 1 - 1e-6)
+            learned.append(w)
+        weights.append(lm.filled(learned))
+    out = []
+    for d, t in rows:
+        t = split(t)
+        base = sum(math.log10((full[0][(w,)] + 1) / (tokens + v + 1)) for w in t)
+        total = 0.0
+        for x in parts(t, False):
+            p = 1 / (v + 1)
+            for (f, b), w in zip(x, weights, strict=True):
+                p = w[b] * f + (1 - w[b]) * p
+            total += math.log10(p)
+        out.append((d, len(t), sum(full[0][(w,)] > 0 for w in t), tokens, base, total))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 200)  # several chunks a task
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 4000)
+    got = lm.score(docs, order=order).collect()
+    want = plain_lm([tuple(r) for r in docs.select("doc_id", "text").collect()], order)
+    key = lambda r: (str(r[0]), r[1], r[4])
+    have = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got]
+    assert len(have) == len(want)
+    for h, w in zip(sorted(have, key=key), sorted(want, key=key), strict=True):
+        assert h[:4] == w[:4] and abs(h[4] - w[4]) < 1e-6 and abs(h[5] - w[5]) < 0.01 * abs(w[5])  # EM reads ratios in bins of a 32nd octave
+    assert {r["doc_id"] for r in got if r["held_out"]} == {r[0] for r in want if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2}
+
+
+def test_lm_backs_off_and_empty(spark, docs):
+    assert lm.filled([0.3, None, 0.2, None, None, 0.4]).tolist() == [0.0, 0.2, 0.2, 0.2, 0.4, 0.4]
     assert lm.score(docs.limit(0)).count() == 0
+    ids = [d for d in range(50) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    only_held = spark.createDataFrame([(d, "a b") for d in ids], "doc_id long, text string")
+    assert [(r["train_tokens"], r["n_known"], r["score"]) for r in lm.score(only_held).collect()] == [(0, 0, 0.0)] * 2
 
 
 def test_minhash(spark, docs):
