@@ -8,8 +8,9 @@ are confirmed on whole shingle sets.
 
 Documents with equal sets are one class. Each class of a band's bucket is first compared with the bucket's least class, so a bucket of
 true copies costs as many comparisons as it has members. Buckets whose classes are then in one component are finished. In the others
-classes of different components are compared by sketch, in blocks of bounded size that emit only likely pairs, each in the first
-bucket it shares; these are confirmed in blocks too, where a set is sent once however many of its pairs are there. No pair that shares a
+classes of different components are compared in blocks of bounded size. A block first looks at sketches and names the classes that
+have a likely partner there; then the sets of these meet in the same block, which intersects all of them at once and answers with links
+that join components, fewer than it has classes. So whatever a group looks like, no table of pairs is made. No pair that shares a
 bucket is left out unless its classes are already in one component.
 """
 
@@ -27,8 +28,10 @@ from orecart.llm.common import Scratch, connected_components, lowered_words, per
 BUCKET_BITS, MANTISSA, BANDS, ROWS = 9, 8, 20, 4
 BUCKETS = 1 << BUCKET_BITS
 MEMO = 400_000
-#: Classes in a block when the members of a bucket that stayed apart are compared.
-BLOCK = 512
+#: Classes, and shingles, in a block when the members of a bucket that stayed apart are compared; tasks that may share a pivot's classes.
+BLOCK, BLOCK_SHINGLES, SALTS = 512, 1 << 20, 256
+#: Shingles whose columns are multiplied at a time.
+STRIP = 2048
 #: Registers that are compared first; only pairs that these leave likely are estimated from all.
 FIRST = 128
 #: Standard errors of the estimate that a pair may fall short of the threshold by and still be confirmed on whole sets.
@@ -115,8 +118,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(1) - chance) / (1 - chance)
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Keys of the bands, rows x BANDS, of rows of registers; a key differs from those of other bands."""
+    groups = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    keys, band = np.zeros((len(regs), BANDS), np.uint64), np.arange(BANDS, dtype=np.uint64) << np.uint64(32)
+    for i in range(ROWS):
+        keys = mix(keys ^ groups[:, :, i] ^ band)
+    return keys
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (two longs), registers and band keys; the last three null for empty sets."""
+    """doc_id, md5 of the text, n_shingles, the set's digest (two longs), registers and band keys; the last three null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = per_worker(("shingles",), WordHashes)
@@ -128,19 +140,18 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     rows.append((0, None, None, None, None))
                     continue
                 regs = sketch(s)
-                keys = np.full(BANDS, 0, np.uint64)
-                for i in range(ROWS):
-                    keys = mix(keys ^ regs[: BANDS * ROWS].reshape(BANDS, ROWS)[:, i].astype(np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
                 with np.errstate(over="ignore"):
-                    rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), regs.tobytes(), keys.astype(np.int64)))
+                    rows.append((len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), regs.tobytes(), band_keys(regs[None])[0].astype(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             out = pd.DataFrame({"n_shingles": columns[0], "regs": columns[3], "bands": columns[4]})
             out["d1"], out["d2"] = (pd.array(c, dtype="Int64") for c in columns[1:3])  # never through floats, whatever nulls there are
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out[["doc_id", "n_shingles", "d1", "d2", "regs", "bands"]]
+            out.insert(1, "md5", batch["md5"])
+            yield out[["doc_id", "md5", "n_shingles", "d1", "d2", "regs", "bands"]]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data")).mapInPandas(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"
+    data = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), F.md5(data).alias("md5"), data.alias("data")).mapInPandas(
+        run, "doc_id long, md5 string, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"
     )
 
 
@@ -166,57 +177,80 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of (doc_id, text).
-
-    Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the least doc_id that links
-    reach, kept marks it. Texts that are null, empty or only white space have no shingles and no links. Repeated rows have equal
-    results; a row with a null doc_id has n_shingles and nulls. Other columns are ignored. Whole texts are used.
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "minhash")
+def _components(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, md5, n_shingles, d1, d2), and of every class of equal sets (n_shingles, d1, d2, doc, component): its least id and
+    a number that the classes which links reach share."""
     all_ = scratch.write(sketches(docs, size), "sketches")
     named = all_.filter("n_shingles > 0 and doc_id is not null")
-    # classes of equal sets; the digest is 128 bits and the size
-    least = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc"))
-    # numbered once, when they are written: one id may have several texts
-    classes = scratch.write(least.select(F.monotonically_increasing_id().alias("cid"), "doc", F.col("n_shingles").alias("n"), "d1", "d2"), "digests")
-    held = scratch.write(
-        named.join(classes.withColumnRenamed("n", "n_shingles"), ["n_shingles", "d1", "d2"]).filter("doc_id = doc").groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    exploded = held.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
+    # classes of equal sets, by a digest of 128 bits and the size; equal sets have equal sketches, so any row gives them. They are numbered
+    # once, when they are written: one id may have several texts
+    one = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    classes = scratch.write(one.select(F.monotonically_increasing_id().alias("cid"), "doc", F.col("n_shingles").alias("n"), "d1", "d2", "regs", "bands"), "classes")
+    exploded = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     first = exploded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     active = scratch.write(exploded.join(first, "bucket").select("band", "bucket", "cid", "n", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n")), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("data"))
-    digests = classes.select("cid", "doc", "n", "d1")
-    ratio = percent / 100
+    digests, ratio = classes.select("cid", "doc", "n", "d1"), percent / 100
 
     star = active.filter((F.col("cid") != F.col("p_cid")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
     star = star.select(F.col("p_cid").alias("a"), F.col("cid").alias("b")).distinct()
-    a, b = (held.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("regs").alias(f"{c}_regs")) for c in ("a", "b"))
-    likely = scratch.write(_likely(star.join(a, "a").join(b, "b"), ratio).withColumn("bucket", F.col("a")), "likely-star")
-    sets = scratch.write(_sets(_ids(likely).join(digests, "cid"), texts, size), "sets-star")
+    a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("regs").alias(f"{c}_regs")) for c in ("a", "b"))
+    likely = scratch.write(_likely(star.join(a, "a").join(b, "b"), ratio), "likely")
+    wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct()
+    sets = scratch.write(_sets(wanted.join(digests, "cid"), texts, size), "sets-star")
     links = scratch.write(_confirmed(likely, sets, percent), "links-star")
-    parts = scratch.write(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, "star"), "parts-star")
-
-    # first the most similar pair of each two components a block holds, which joins most that can be joined; then all pairs still apart
-    for step in ("best", "rest"):
-        now = active.select("band", "bucket", "cid", "p_cid", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
-        spread = now.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi and members > 2")
-        apart = scratch.write(now.join(spread.select("bucket", "members"), "bucket").filter("cid <> p_cid").join(held.select("cid", "regs"), "cid"), f"apart-{step}")
-        likely = scratch.write(_likely_apart(apart, ratio, percent, step == "best"), f"likely-{step}")
-        wanted = _ids(likely).join(sets.select("cid"), "cid", "left_anti").join(digests, "cid")
-        sets = sets.unionByName(scratch.write(_sets(wanted, texts, size), f"sets-{step}"))
-        links = links.unionByName(scratch.write(_confirmed(likely, sets, percent), f"links-{step}"))
-        parts = scratch.write(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"all-{step}"), f"parts-{step}")
-        scratch.drop(f"apart-{step}")
-    component = parts.select(F.col("node").alias("cid"), "component")
-    named_by = component.join(classes, "cid").groupBy("component").agg(F.min("doc").alias("least"))
-    by_class = classes.join(component.join(named_by, "component"), "cid", "left").select(F.col("n").alias("n_shingles"), "d1", "d2", F.coalesce("least", "doc").alias("class_component"))
+    parts = scratch.write(connected_components(links, scratch, "star"), "parts-star").select(F.col("node").alias("cid"), F.col("component").alias("part"))
+
+    now = active.select("band", "bucket", "cid", "p_cid", "n").join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    spread = now.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    open_ = spread.filter("lo < hi and members > 2").select("bucket", blocks.alias("blocks"))
+    apart = now.join(open_, "bucket").filter("cid <> p_cid").join(classes.select("cid", "regs"), "cid")
+    flagged = scratch.write(_flagged(apart, ratio, percent), "flagged")
+    wanted = flagged.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti")
+    sets = sets.unionByName(scratch.write(_sets(wanted.join(digests, "cid"), texts, size), "sets-apart"))
+    joins = scratch.write(_joins(flagged, sets, percent), "links-apart")
+    whole = scratch.write(connected_components(joins, scratch, "apart"), "parts-apart").select(F.col("node").alias("part"), F.col("component").alias("joined"))
+    for name in ("active", "likely", "sets-star", "flagged", "sets-apart"):
+        scratch.drop(name)
+    at = classes.select("cid", "doc", F.col("n").alias("n_shingles"), "d1", "d2").join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    return all_, at.join(whole, "part", "left").select("n_shingles", "d1", "d2", "doc", F.coalesce("joined", "part").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of (doc_id, text).
+
+    Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the least doc_id that links
+    reach, kept marks it. Texts that are null, empty or only white space have no shingles and no links. Repeated rows have equal
+    results; a row with a null doc_id has n_shingles and nulls. An id with several texts has a result for each. An empty table gives no
+    rows. Other columns are ignored, whatever their names. Whole texts are used, of any length.
+    """
+    all_, classes = _components(docs, size, percent, scratch or Scratch(docs.sparkSession, "minhash"))
+    least = classes.groupBy("component").agg(F.min("doc").alias("class_component"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    by_class = classes.join(least, "component", "left").select("n_shingles", "d1", "d2", F.coalesce("class_component", "doc").alias("class_component"))
     out = all_.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["n_shingles", "d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of `docs`, unchanged, without near-duplicates: of each group the row of least (doc_id, md5 of the text).
+
+    Repeated rows of an id and text count as one, which stays where its group keeps it; an id with several texts is a row for each. Texts
+    without shingles and rows with a null id have no group and stay.
+    """
+    all_, classes = _components(docs, size, percent, scratch or Scratch(docs.sparkSession, "minhash"))
+    rows = all_.filter("doc_id is not null").join(classes.drop("doc"), ["n_shingles", "d1", "d2"], "left").groupBy("doc_id", F.coalesce("md5", F.lit("")).alias("md5")).agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("times"))
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "md5")).alias("f")).select("component", "f.*")
+    dropped = rows.filter("component is not null").join(first, ["component", "doc_id", "md5"], "left_anti").select("doc_id", "md5")
+    several = rows.filter("times > 1").join(dropped, ["doc_id", "md5"], "left_anti").select("doc_id", "md5")
+    # tables of a few rows beside the texts, which stay where they are
+    dropped, several = (t.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), F.lit(mark).alias("_mark")) for t, mark in ((dropped, "dropped"), (several, "several")))
+    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    marked = docs.join(dropped.unionByName(several), (F.col("doc_id").cast("long") == F.col("_id")) & (key == F.col("_md5")), "left")
+    once = marked.filter("_mark = 'several'").dropDuplicates(["_id", "_md5"])
+    return marked.filter("_mark is null").unionByName(once).select(*[docs[c] for c in docs.columns])
+
+
 def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Whole shingle sets, as sorted hashes, of the wanted classes (cid, doc, n, d1), from the texts of their least ids."""
 
@@ -233,73 +267,118 @@ def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return texts.join(wanted, "doc").dropDuplicates(["cid", "data"]).mapInPandas(run, "cid long, shingles binary")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), as (src, dst), that whole sets confirm. A pivot's pairs are dealt to SALTS tasks, each of which holds no set but the
+    pivot's, however many classes meet it."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
+    members = pairs.select("a", salt, "b").join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "shingles")
+    pivots = pairs.select("a", salt).distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(-1).cast("long").alias("b"), "shingles")
 
-def _dealt(members: DataFrame, size: str, block: int) -> DataFrame:
-    """Rows of a bucket dealt to the pairs (i, j) of its blocks, i <= j."""
-    out = members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    out = out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
-    return out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivot = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, b, data in zip(batch["a"], batch["b"], batch["shingles"], strict=True):
+                own = np.frombuffer(data, np.uint64)
+                if b < 0:  # comes first
+                    pivot = own
+                    continue
+                same = len(np.intersect1d(pivot, own, assume_unique=True))
+                if 100 * same >= percent * (len(pivot) + len(own) - same):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
+    return members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInPandas(run, "src long, dst long")
 
-def _likely_apart(members: DataFrame, threshold: float, percent: int, best: bool) -> DataFrame:
-    """(bucket, a, b): pairs of a bucket in different components that may reach the threshold, where they share no earlier band.
 
-    With `best` only the most similar pair of each two components in a block.
-    """
+def _flagged(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(bucket, i, j, cid, part, own): the members of a bucket dealt to the pairs (i, j) of its blocks, i <= j, that there have a likely
+    partner in another component with which they share no earlier band."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "part", "n", "regs")
+    key = ["bucket", "i", "j"]
 
     def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         out = []
-        for (bucket, i, j), own in rows.groupby(["bucket", "i", "j"], sort=False):
+        for (_, i, j), own in rows.groupby(key, sort=False):
+            if len(own) < 2:
+                continue
             regs = np.frombuffer(b"".join(own["regs"]), np.uint16).reshape(len(own), -1)
-            bands = regs[:, : BANDS * ROWS].reshape(len(own), BANDS, ROWS)
-            ids, n, part, side, band = own["cid"].to_numpy(), own["n"].to_numpy(), own["part"].to_numpy(), own["own"].to_numpy(), int(own["band"].iloc[0])
-            second, mine = np.flatnonzero(side == j), []
+            keys, n, part, side, band = band_keys(regs), own["n"].to_numpy(), own["part"].to_numpy(), own["own"].to_numpy(), int(own["band"].iloc[0])
+            second, hit = np.flatnonzero(side == j), np.zeros(len(own), bool)
             for x in np.flatnonzero(side == i):
                 y = second[second > x] if i == j else second
-                y = y[part[y] != part[x]]
-                y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-                y = y[likely_pairs(regs[x][None], regs[y], n[x], n[y], threshold)]
-                y = y[~(bands[x, :band][None] == bands[y, :band]).all(2).any(1)]
+                y = y[(part[y] != part[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
+                y = y[~(keys[x, :band] == keys[y, :band]).any(1)]
                 if len(y):
-                    got = estimate(regs[x][None], regs[y], n[x], n[y])
-                    mine.append(pd.DataFrame({"bucket": bucket, "a": ids[x], "b": ids[y], "lo": np.minimum(part[x], part[y]), "hi": np.maximum(part[x], part[y]), "got": got}))
-            if mine:
-                pairs = pd.concat(mine)
-                if best:
-                    pairs = pairs.sort_values(["got", "a", "b"], ascending=[False, True, True]).drop_duplicates(["lo", "hi"])
-                out.append(pairs[["bucket", "a", "b"]])
+                    y = y[likely_pairs(regs[x][None], regs[y], n[x], n[y], threshold)]
+                    hit[y] = True
+                    hit[x] |= len(y) > 0
+            if hit.any():
+                out.append(own.loc[hit, [*key, "cid", "part", "own"]])
         if out:
             yield pd.concat(out)
 
-    found = _dealt(members, "members", BLOCK).mapInPandas(streamed(["bucket", "i", "j"], compare), "bucket long, a long, b long")
-    return found.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInPandas(streamed(key, compare), "bucket long, i int, j int, cid long, part long, own int")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (bucket, a, b) that whole sets confirm; any grouping of pairs may stand for the bucket. A task has a bucket's pairs
-    between two blocks of ids, and each set once."""
-    sizes = pairs.groupBy("bucket").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 2000)).cast("int").alias("blocks"))
-    at = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    dealt = pairs.join(sizes, "bucket").withColumns({"i": at("a"), "j": at("b")}).drop("blocks")
-    key = ["bucket", "i", "j"]
-    needed = dealt.select(*key, F.col("a").alias("cid")).unionByName(dealt.select(*key, F.col("b").alias("cid"))).distinct().join(sets, "cid")
-    none = F.lit(0).cast("long")  # ids stay integers: a column with nulls would pass through floats
-    both = needed.select(*key, "cid", "shingles", none.alias("a"), none.alias("b")).unionByName(dealt.select(*key, none.alias("cid"), F.lit(None).cast("binary").alias("shingles"), "a", "b"))
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right, as products of their columns of common shingles."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    common, out = np.intersect1d(a, b), np.zeros((len(left), len(right)), np.float32)
 
-    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        out = []
-        for _, own in rows.groupby(key, sort=False):
-            is_set = own["shingles"].notna()
-            held = {c: np.frombuffer(s, np.uint64) for c, s in own.loc[is_set, ["cid", "shingles"]].itertuples(index=False)}
-            for a, b in own.loc[~is_set, ["a", "b"]].itertuples(index=False):
-                x, y = held[a], held[b]
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    out.append((a, b))
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def cells(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(common, values)
+        at = np.minimum(at, len(common) - 1)
+        held = common[at] == values
+        order = np.argsort(at[held], kind="stable")
+        return owner[held][order], at[held][order], np.searchsorted(at[held][order], np.arange(0, len(common) + STRIP, STRIP))
+
+    if len(common):
+        (x, c, p), (y, d, q) = cells(a, left), cells(b, right)
+        for k, start in enumerate(range(0, len(common), STRIP)):
+            u, v = (np.zeros((len(sets), STRIP), np.float32) for sets in (left, right))
+            u[x[p[k] : p[k + 1]], c[p[k] : p[k + 1]] - start] = 1
+            v[y[q[k] : q[k + 1]], d[q[k] : q[k + 1]] - start] = 1
+            out += u @ v.T
+    return out.astype(np.int64)
+
+
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs (rows of two nodes), in order, that join what earlier ones left apart."""
+    above: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := above.get(v, v)) != v:
+            above[v] = v = above.get(up, up)
+        return v
 
-    return both.repartition(*key).sortWithinPartitions(*key).mapInPandas(streamed(key, run), "a long, b long")
+    out = []
+    for a, b in pairs.tolist():
+        a, b = root(a), root(b)
+        if a != b:
+            above[b] = a
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _joins(flagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): components that confirmed pairs join, from each block no more than make a forest of its components."""
+    key = ["bucket", "i", "j"]
+
+    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for (_, i, j), own in rows.groupby(key, sort=False):
+            held, side, part = [np.frombuffer(s, np.uint64) for s in own["shingles"]], own["own"].to_numpy(), own["part"].to_numpy()
+            first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            if not len(first) or not len(second):
+                continue
+            same, n = overlaps([held[k] for k in first], [held[k] for k in second]), np.array([len(s) for s in held])
+            ok = (100 * same >= percent * (n[first][:, None] + n[second][None] - same)) & (part[first][:, None] != part[second][None])
+            x, y = np.nonzero(np.triu(ok) if i == j else ok)
+            if len(x):
+                yield pd.DataFrame(spanning(np.unique(np.sort(np.stack([part[first][x], part[second][y]], 1), 1), axis=0)), columns=["src", "dst"])
+
+    dealt = flagged.join(sets, "cid").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInPandas(streamed(key, compare), "src long, dst long")
