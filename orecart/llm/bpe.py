@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -163,33 +163,89 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
-#: Bytes that a lead byte still asks for, by its top five bits: 0xC0.., 0xE0.., 0xF0..
-FOLLOW = [0] * 24 + [1] * 4 + [2] * 2 + [3] + [0]
+def transitions() -> list[list[int]]:
+    """State after a byte, by state and byte, of well-formed UTF-8; -1 where a byte cannot follow.
+
+    0: between characters. 1 to 3: so many continuation bytes due. 4 to 7: after E0, ED, F0 and F4, whose next byte has a narrower range.
+    """
+    table = [[-1] * 256 for _ in range(8)]
+    for first, last, to in ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE1, 0xEF, 2), (0xF1, 0xF3, 3), (0xE0, 0xE0, 4), (0xED, 0xED, 5), (0xF0, 0xF0, 6), (0xF4, 0xF4, 7)):
+        table[0][first : last + 1] = [to] * (last + 1 - first)
+    for state, first, last, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state][first : last + 1] = [to] * (last + 1 - first)
+    return table
+
+
+NEXT = transitions()
 
 
 class StreamDecoder:
-    """Incremental UTF-8 state machine over tokens: give ids, get text; bytes of an unfinished character wait for the next ids."""
-
-    def __init__(self, tokens: list[bytes]) -> None:
-        self.tokens, self.waiting = tokens, b""
-
-    def feed(self, ids: Iterable[int]) -> tuple[bytes, str]:
-        """The bytes of these ids, and the text of all characters now complete (U+FFFD for ill-formed bytes)."""
-        data = b"".join(map(self.tokens.__getitem__, ids))
-        held = self.waiting + data
-        keep = 0
-        for back in range(1, min(3, len(held)) + 1):  # a character still open began at most three bytes ago
-            byte = held[-back]
-            if byte & 0xC0 != 0x80:
-                keep = back if FOLLOW[byte >> 3] >= back else 0
-                break
-        self.waiting = held[len(held) - keep :] if keep else b""
-        return data, (held[: len(held) - keep] if keep else held).decode("utf-8", "replace")
-
-    def close(self) -> str:
-        out, self.waiting = self.waiting.decode("utf-8", "replace"), b""
+    """Incremental UTF-8 state machine over tokens: give ids, get segments (bytes, whether they are whole characters).
+
+    Bytes of an unfinished character wait for the next ids. Bytes that no character can hold are segments of their own, as long as the
+    longest start of a character there, so that `text_of` has one U+FFFD for each. Tokens that are whole characters by themselves, which
+    lead from state 0 to state 0, are taken together; the bytes of all others go through the machine one by one.
+    """
+
+    def __init__(self, tokens: list[bytes], whole: np.ndarray | None = None) -> None:
+        self.tokens, self.whole, self.state, self.waiting = tokens, is_whole(tokens) if whole is None else whole, 0, bytearray()
+
+    def _step(self, byte: int, out: list[tuple[bytes, bool]]) -> None:
+        to = NEXT[self.state][byte]
+        if to < 0 and self.state:
+            out.append((bytes(self.waiting), False))
+            self.waiting.clear()
+            to = NEXT[0][byte]
+        if to < 0:
+            out.append((bytes((byte,)), False))
+            self.state = 0
+            return
+        self.state = to
+        self.waiting.append(byte)
+        if not to:
+            out.append((bytes(self.waiting), True))
+            self.waiting.clear()
+
+    def feed(self, ids: np.ndarray) -> list[tuple[bytes, bool]]:
+        """The segments that these ids complete."""
+        out: list[tuple[bytes, bool]] = []
+        ids = np.asarray(ids, np.int64)
+        listed, start = ids.tolist(), 0
+        for stop in [*np.flatnonzero(~self.whole[ids]).tolist(), len(listed)]:
+            if start < stop:
+                out += self.close()  # a whole character ends any that was open
+                out.append((b"".join(map(self.tokens.__getitem__, listed[start:stop])), True))
+            if stop < len(listed):
+                for byte in self.tokens[listed[stop]]:
+                    self._step(byte, out)
+            start = stop + 1
         return out
 
+    def close(self) -> list[tuple[bytes, bool]]:
+        """What is still open, which no character completes."""
+        out = [(bytes(self.waiting), False)] if self.waiting else []
+        self.waiting.clear()
+        self.state = 0
+        return out
+
+
+def is_whole(tokens: list[bytes]) -> np.ndarray:
+    """Whether the machine goes from state 0 to state 0 over each token."""
+
+    def whole(token: bytes) -> bool:
+        state = 0
+        for byte in token:
+            state = NEXT[state][byte]
+            if state < 0:
+                return False
+        return not state
+
+    return np.array([t.isascii() or whole(t) for t in tokens], bool)
+
+
+def text_of(segments: list[tuple[bytes, bool]]) -> str:
+    return "".join(data.decode("utf-8") if ok else "\ufffd" for data, ok in segments)
+
 
 def vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
     out = [b""] * (max(ranks.values()) + 1)
@@ -201,22 +257,26 @@ def vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, window: int = 65_536) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of (doc_id, text): encoded, then decoded from its ids in windows.
 
-    Null or empty text: no ids. Ids of rows, repeated rows and nulls are kept as they are; other columns are ignored. One pass, no
-    shuffle. `ids_of` gives the ids themselves.
+    Null or empty text: no ids. Ids of rows, repeated rows and nulls are kept as they are; an empty table gives no rows; other columns are
+    ignored, whatever their names; a text of any length is encoded whole. decoded_sha256 is of the bytes that the decoder's state machine
+    gives out, window by window. One pass, no shuffle. `ids_of` gives the ids themselves.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = per_worker(("bpe", ranks_path, pattern), lambda: Encoder(load_ranks(ranks_path), pattern))
         tokens = vocabulary(encoder.ranks)
+        whole = is_whole(tokens)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 ids = encoder.encode(text)
-                decoder, digest = StreamDecoder(tokens), hashlib.sha256()
+                decoder, digest = StreamDecoder(tokens, whole), hashlib.sha256()
                 numbers = np.frombuffer(ids, "<u4")
                 for at in range(0, len(numbers), window):
-                    digest.update(decoder.feed(numbers[at : at + window].tolist())[0])
-                decoder.close()
+                    for data, _ in decoder.feed(numbers[at : at + window]):
+                        digest.update(data)
+                for data, _ in decoder.close():
+                    digest.update(data)
                 rows.append((len(numbers), hashlib.sha256(ids).hexdigest(), digest.hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
