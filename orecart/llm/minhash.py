@@ -29,7 +29,7 @@ BUCKET_BITS, MANTISSA, BANDS, ROWS = 9, 8, 20, 4
 BUCKETS = 1 << BUCKET_BITS
 MEMO = 400_000
 #: Classes, and shingles, in a block when the members of a bucket that stayed apart are compared; tasks that may share a pivot's classes.
-BLOCK, BLOCK_SHINGLES, SALTS = 512, 1 << 20, 256
+BLOCK, BLOCK_SHINGLES, SALTS = 256, 1 << 20, 256
 #: Shingles whose columns are multiplied at a time.
 STRIP = 2048
 #: Registers that are compared first; only pairs that these leave likely are estimated from all.
@@ -186,6 +186,8 @@ def _components(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> t
     # once, when they are written: one id may have several texts
     one = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = scratch.write(one.select(F.monotonically_increasing_id().alias("cid"), "doc", F.col("n_shingles").alias("n"), "d1", "d2", "regs", "bands"), "classes")
+    all_ = scratch.write(all_.drop("regs", "bands"), "rows")
+    scratch.drop("sketches")
     exploded = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     first = exploded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     active = scratch.write(exploded.join(first, "bucket").select("band", "bucket", "cid", "n", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n")), "active")

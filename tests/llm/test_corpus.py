@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from orecart.llm import ann, bpe, langid, lm, minhash, neighbours, packing, toxicity, urls, warc
 from orecart.llm.common import Scratch
@@ -64,19 +65,51 @@ def test_bpe_equals_library():
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     e, lib, r = bpe.Encoder(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), random.Random(5)
+    vocabulary = bpe.vocabulary(ranks)
+    whole = bpe.is_whole(vocabulary)
     for _ in range(300):
         s = "".join(r.choice("abcdeting  \n\t'sé漢😀ñ09.,\r\x85") for _ in range(r.choice([1, 5, 40]))) + r.choice(["", "a" * 700, "  "])
         ids = np.frombuffer(e.encode(s), "<u4").tolist()
         assert ids == lib.encode_ordinary(s)
-        d, out = bpe.StreamDecoder(bpe.vocabulary(ranks)), ""
+        d, out = bpe.StreamDecoder(vocabulary, whole), []
         for i in ids:
-            out += d.feed([i])[1]
-        assert out + d.close() == s
+            out += d.feed([i])
+        assert bpe.text_of(out) == s and d.close() == [] and b"".join(x for x, _ in out) == s.encode()
+
+
+def test_stream_decoder_on_any_bytes():
+    """Single bytes as tokens, in windows of any size: all bytes come out, and the text is what a decoder of the whole gives."""
+    r, tokens = random.Random(6), [bytes((i,)) for i in range(256)] + ["é".encode(), "漢😀".encode(), b"a", b"\xe6\xbc", b"\xa2z"]
+    whole = bpe.is_whole(tokens)
+    assert whole.tolist() == [i < 128 for i in range(256)] + [True, True, True, False, False]
+    for k in range(3000):
+        pieces = [r.choice(["é漢😀ñ\u07ff\ud7ff\ue000\U0010ffff"[r.randrange(8)].encode("utf-8"), bytes(r.choices(range(256), k=r.randrange(4))), b"ab", b"\xf0\x9f", b"\xed\xa0\x80", b"\xe0\x80", b"\xf4\x90\x80\x80"]) for _ in range(r.randrange(8))]
+        data = b"".join(pieces)
+        ids = list(data) if k % 2 else [i for p in pieces for i in ([256] if p == "é".encode() else list(p))] + [257, 259, 260]
+        expect = b"".join(tokens[i] for i in ids)
+        d, out, at = bpe.StreamDecoder(tokens, whole), [], 0
+        while at < len(ids):
+            n = r.randrange(1, 5)
+            out += d.feed(np.array(ids[at : at + n]))
+            at += n
+        out += d.close()
+        assert b"".join(x for x, _ in out) == expect and bpe.text_of(out) == expect.decode("utf-8", "replace")
 
 
 def test_bpe_table(spark, docs):
-    got = {r["doc_id"]: r for r in bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
-    assert got[100]["n_tokens"] == 0 and got[202]["decoded_sha256"] == hashlib.sha256(" ".join(WORDS * 900).encode()).hexdigest()
+    """Every row against the library: nulls, empty and very long texts, repeated rows, null ids, columns of clashing names."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    more = docs.select("doc_id", "text", docs["score"].alias("n_tokens"), docs["score"].alias("decoded_sha256"))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_decode(more, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, window=7).collect()]
+    want = []
+    for d, t in docs.select("doc_id", "text").collect():
+        ids = lib.encode_ordinary(t or "")
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert bpe.encode_decode(docs.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
 def plain_lm(rows, order, folds=7, held=2, deleted_fold=3):
@@ -170,13 +203,95 @@ def test_lm_backs_off_and_empty(spark, docs):
     assert [(r["train_tokens"], r["n_known"], r["score"]) for r in lm.score(only_held).collect()] == [(0, 0, 0.0)] * 2
 
 
+def plain_components(rows, size, percent):
+    """doc_id -> least id that links reach, by comparing all pairs of shingle sets of words."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+
+
 def test_minhash(spark, docs):
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, size=4, percent=80).collect()}
-    assert got[201]["component_id"] == 7 and not got[201]["kept"] and got[102]["n_shingles"] == 0 and got[102]["kept"]
-    assert got[None]["component_id"] is None and got[None]["n_shingles"] > 0
+    got = minhash.near_duplicates(docs, size=4, percent=80).collect()
+    at = {r["doc_id"]: r for r in got}
+    assert at[201]["component_id"] == 7 and not at[201]["kept"] and at[102]["n_shingles"] == 0 and at[102]["kept"]
+    assert at[None]["component_id"] is None and at[None]["n_shingles"] > 0
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == plain_components(docs.select("doc_id", "text").collect(), 4, 80)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def near_group(n, words, edits, seed, vocabulary=3000):
+    """Copies of a text, each with some words replaced."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(vocabulary)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(edits):
+            t[r.randrange(words)] = f"x{r.randrange(10**9)}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_minhash_large_group_around_the_threshold(spark):
+    """A group larger than two blocks whose pairs lie on both sides of 0.8, one far below it, and one of true copies."""
+    texts_ = near_group(620, 150, 3, 21) + near_group(150, 60, 5, 22) + near_group(40, 30, 0, 23) + near_group(30, 400, 4, 24)
+    rows = list(enumerate(texts_))
+    random.Random(25).shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=80).collect()
+    want = plain_components(rows, 4, 80)
+    assert len({c for _, _, c in want}) > 100
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_blocks_answer_with_few_links(spark):
+    """No table of pairs is made: classes meet a pivot once a bucket, and a block answers with fewer links than it has classes."""
+    n, scratch = 600, Scratch(spark, "linear")
+    scratch.drop = lambda name: None  # keep the tables
+    minhash.near_duplicates(spark.createDataFrame(list(enumerate(near_group(n, 150, 3, 26))), "doc_id long, text string"), size=4, scratch=scratch).count()
+    table = lambda name: spark.read.parquet(scratch.path(name))
+    assert table("likely").count() <= n * minhash.BANDS
+    assert table("links-apart").count() < table("flagged").count() <= n * minhash.BANDS * -(-n // minhash.BLOCK)
+
+
+def test_overlaps_and_spanning():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 9000, r.integers(1, 5000)).astype(np.uint64)) for _ in range(12)]
+    assert minhash.overlaps(sets[:5], sets[5:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert minhash.overlaps([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+    assert minhash.spanning(np.array([[1, 2], [2, 3], [1, 3], [4, 5]])).shape == (3, 2)
+
+
+def test_one_of_each(spark):
+    """Of each group the least (id, md5): an id may have another text that is no copy, repeated rows count once, null ids stay."""
+    a, b = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (6, b + " tail", 5), (None, a, 6), (None, a, 7), (8, None, 8), (9, "", 9), (9, "", 10), (2, a + " x", 11), (2, a + " y", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, md5 int")
+    got = minhash.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect())
+    first = min((a + " x", a + " y"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert kept == sorted([("2", first), ("5", b), ("None", a), ("None", a), ("8", ""), ("9", "")])
+    assert minhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_minhash_keeps_both_texts_of_an_id(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
     rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (5, c + " tail"), (0, b + " end")]
@@ -293,6 +408,28 @@ def test_warc(spark):
     assert got[1]["payload_bytes"] == len(big.encode()) and got[1]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and got[5]["payload_bytes"] == 0
 
 
+def test_warc_in_bounded_archives(spark, tmp_path):
+    """Many archives, repeated rows, null ids, clashing columns: every record comes back, with an id of its own."""
+    import os
+
+    big, long = "x" * 1500, "y" * 400_000
+    rows = [(i, f"u{i}", f"{i % 50} {big}" if i % 3 else f"s{i}", "a") for i in range(600)] + [(7, "u7", f"7 {big}", "a")] * 2 + [(597, "u", f"47 {big}", "b")] * 2 + [(None, "n", f"{4} {big}", "c")] * 2 + [(9000 + i, "l", long + str(i), "d") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string").withColumn("place", F.lit(1)).withColumn("refers_to", F.lit("z"))
+    warc.write_warc(df, f"file://{tmp_path}/w", archive_bytes=100_000)
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert sum(f.startswith("part-") for f in os.listdir(tmp_path / "w")) >= 15
+    sha = lambda h: hashlib.sha1(h.encode()).hexdigest()
+    first = {}
+    for p, _, h, _ in rows:
+        if p is not None:
+            first[h] = max(p, first.get(h, p))
+    want = sorted(str((p, len(h), sha(h), "revisit" if len(h) >= 1000 and p != first[h] else "response", first[h] if len(h) >= 1000 and p != first[h] else None)) for p, _, h, _ in rows)
+    assert sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got) == want
+    assert len({r["record_id"] for r in got}) == len(rows)
+    warc.write_warc(df.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_langid(spark, docs):
     other = [(1000 + i, " ".join("der hund lief über straße und brücke".split() * (i % 5 + 1)), "de") for i in range(40)]
     df = docs.selectExpr("doc_id", "text", "'en' as lang").unionByName(spark.createDataFrame(other, "doc_id long, text string, lang string"))
@@ -347,3 +484,39 @@ def test_toxicity():
     words = toxicity.WordWeights(model)
     assert all(toxicity.raw_score(t, words, model.bias) >= 0.7 for t in mixed[130:]) and all(toxicity.raw_score(t, words, model.bias) < 0.7 for t in good)
     assert 0 <= toxicity.raw_score(None, words, model.bias) < 0.7
+
+
+def test_toxicity_on_tables(spark):
+    """Fitted and scored by Spark: held-out toxic texts are found, harmless ones and awkward rows are left alone."""
+    r = random.Random(15)
+    bad = {2000 + i: " ".join([*r.choices(WORDS, k=r.randint(4, 40)), r.choice(["nastyword", "Vileterm!"]), *r.choices(WORDS, k=5)]) for i in range(300)}
+    good = dict(enumerate(texts(900, 16)))
+    rows = [*good.items(), *bad.items(), (5000, None), (5001, ""), (5002, " ".join(WORDS * 5000)), (None, "nastyword here"), (None, None), (3, good[3]), (3, good[3])]
+    docs = spark.createDataFrame([(*x, 0.5, 1, "q") for x in rows], "doc_id long, text string, score double, predicted int, p_id string").repartition(3)
+    labels = spark.createDataFrame([(d, int(d >= 2000), 1) for d in [*good, *bad] if d % 2 == 0] + [(None, 1, 0), (4, None, 0), (2000, 0, 0)], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"]) for r in got)
+    at = {r["doc_id"]: r for r in got}
+    caught = [at[d]["predicted"] for d in bad if held(d)]
+    assert sum(caught) >= 0.95 * len(caught) > 50 and not any(at[d]["predicted"] for d in [*good, 5000, 5001, 5002])
+    assert at[5000]["score"] == at[5001]["score"] and [r["score"] for r in got if r["doc_id"] == 3] == [at[3]["score"]] * 3
+    words = toxicity.WordWeights(model)
+    assert all(abs(r["score"] - toxicity.raw_score(dict(rows).get(r["doc_id"]), words, model.bias)) < 1e-12 for r in got if r["doc_id"] is not None)
+    stay = toxicity.accepted(docs, model)
+    assert stay.columns == docs.columns and stay.count() == sum(not r["predicted"] for r in got)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    blank = toxicity.fit(docs.limit(0), labels.limit(0))
+    assert {r["predicted"] for r in toxicity.score(docs, blank).collect()} == {0}
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Rows without ids are drawn one by one; bounds are parameters."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, positive, prior: seen.append((len(rows), int(positive.sum()), prior)) or toxicity.Model(np.zeros(1 << toxicity.BITS), -5.0))
+    docs = spark.createDataFrame([(None, "same text")] * 4000 + [(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, positives=200, unlabelled=400, prior=0.25)
+    (n, p, prior), = seen
+    assert 140 < p < 270 and 320 < n - p < 480 and prior == 0.25
