@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ EXTENSIONS = {
     "c": ["c", "h"], "cpp": ["cpp", "cc", "cxx", "hpp", "hxx"], "go": ["go"],
 }
 
+#: Lower-case Latin letters with marks and the letters without, by the rule that decomposition gives a letter of a to z and marks.
+ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and (d := unicodedata.normalize("NFD", c))[0] in "abcdefghijklmnopqrstuvwxyz" and len(d) > 1)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+#: Marks that stand apart from their letter.
+MARKS = "[\u0300-\u036f]"
+
 
 def slugify(s: Column) -> Column:
     dashed = F.regexp_replace(F.lower(s), r"[^\p{IsAlphabetic}\p{N}]+", "-")
@@ -51,11 +59,19 @@ def trim_space(s: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without accents."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower-case runs of letters and digits, without the marks of Latin letters."""
+    plain = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), MARKS, "")
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def phrase_tokens(phrase: str) -> list[str]:
+    """What `tokens` gives for a phrase."""
+    import re
+
+    plain = re.sub(MARKS, "", phrase.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return [t for t in re.split(r"[\W_]+", plain) if t]
+
+
 def defined_names(line: Column) -> Column:
     """Names that a line defines: after the first occurrence of each keyword (anywhere, also inside words), then of `impl`."""
     found = [F.regexp_extract(line, k + IDENT, 1) for k in DEFINING] + [F.regexp_extract(line, IMPL, 1)]
@@ -86,4 +102,19 @@ def parse_ref(ref: Column) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.0fk", n / 1e3)).otherwise(n.cast("string"))
+    """x.xM from a million on, xk from a thousand on, ties to even."""
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", F.bround(n / 1e6, 1))).when(n >= 1000, F.format_string("%.0fk", F.bround(n / 1e3, 0))).otherwise(n.cast("string"))
+
+
+def path_key(path: Column) -> Column:
+    """A folder's name in the list of projects: its path with dashes for slashes, without dashes in front."""
+    return F.regexp_replace(F.translate(path, "/", "-"), "^-+", "")
+
+
+def short_id(name: Column, length: int) -> Column:
+    return F.substring(name, 1, length)
+
+
+def truncated(text: Column, length: int) -> Column:
+    """The first characters of a text, for providers that take no more."""
+    return F.substring(text, 1, length)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from orecart.functions import text as tx
 from orecart.functions import vectors as vx
-from orecart.operators import chunks, clusters, embedding, retrieval, symbols, usage
+from orecart.operators import chunks, clusters, embedding, mapping, report, retrieval, symbols, usage
+from orecart.plans import index as commands
+from orecart.plans.samples import EXPECTED_CHUNKS, SOURCES
 from orecart.sources import store
+from orecart.sources.scratch import Scratch
+from orecart.streaming import watch
 
 PHRASE = "of the"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +49,13 @@ def knn_l2_top10(spark, d):
     return retrieval.knn(read(spark, d, "embeddings"), first_vector(spark, d), 10, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
+@query(f"select vec_id, round({L2}, 6) as distance from embeddings e, {Q0} q where vec_id % 10 > 1 order by {L2}, vec_id limit 10")
+def knn_gaps(spark, d):
+    """Null and short vectors are no neighbours."""
+    v = F.when(F.col("vec_id") % 10 == 1, F.slice("embedding", 1, 3)).when(F.col("vec_id") % 10 > 1, F.col("embedding"))
+    return retrieval.knn(read(spark, d, "embeddings").withColumn("embedding", v), first_vector(spark, d), 10, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 @query(f"select vec_id, round(1 - {COS.format(a='e.embedding', b='q.v')}, 6) as distance from embeddings e, {Q0} q order by 1 - {COS.format(a='e.embedding', b='q.v')}, vec_id limit 10")
 def cosine_top10(spark, d):
     q = F.array(*map(F.lit, map(float, first_vector(spark, d))))
@@ -83,13 +94,25 @@ def nearest_centroid(spark, d):
     return retrieval.knn(m, first_vector(spark, d), 1, "label", "mean").withColumn("distance", F.round("distance", 6))
 
 
-BM25 = f"""
-    t as (select doc_id, list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as tok from documents),
-    c as (select doc_id, len(tok) as d, len(list_filter(range(1, len(tok)), lambda i: tok[i] = '{PHRASE.split()[0]}' and tok[i + 1] = '{PHRASE.split()[1]}')) as f from t),
+def bm25_sql(phrase: str, text: str = "text") -> str:
+    one, two = phrase.split()
+    return f"""
+    t as (select doc_id, list_filter(string_split_regex(translate(lower({text}), '{tx.ACCENTED}', '{tx.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as tok from documents),
+    c as (select doc_id, len(tok) as d, len(list_filter(range(1, len(tok)), lambda i: tok[i] = '{one}' and tok[i + 1] = '{two}')) as f from t),
     s as (select count(*) as n, count(*) filter (f > 0) as h, avg(d) as a from c),
     b as (select doc_id, -(case when ln((n - h + 0.5) / (h + 0.5)) <= 0 then 1e-6 else ln((n - h + 0.5) / (h + 0.5)) end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a)) as bm25 from c, s where f > 0)"""
 
 
+BM25 = bm25_sql(PHRASE)
+#: Letters with marks in the text, and none in the phrase.
+ACCENTS = "case when doc_id % 9 = 4 then text || ' Ž\u1ec7na \u017dije' else text end"
+
+
+@query(f"with {bm25_sql('zena zije', ACCENTS)} select doc_id, round(bm25, 6) as bm25 from b")
+def bm25_accents(spark, d):
+    return retrieval.bm25_phrase(read(spark, d, "documents").withColumn("text", F.expr(ACCENTS)), "žena zije", "doc_id", "text").withColumn("bm25", F.round("bm25", 6))
+
+
 @query(f"with {BM25} select doc_id, round(bm25, 6) as bm25 from b")
 def bm25_phrase(spark, d):
     return retrieval.bm25_phrase(read(spark, d, "documents"), PHRASE, "doc_id", "text").withColumn("bm25", F.round("bm25", 6))
@@ -102,7 +125,21 @@ def bm25_phrase(spark, d):
 def hybrid_rrf(spark, d):
     near = retrieval.knn(read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), first_vector(spark, d), 10, "doc_id", "embedding")
     words = retrieval.bm25_phrase(read(spark, d, "documents"), PHRASE, "doc_id", "text", 10)
-    return retrieval.hybrid(near, words, "doc_id", 10).withColumn("score", F.round("score", 9))
+    return retrieval.hybrid(near, words, "doc_id", 10).select("doc_id", F.round("score", 9).alias("score"))
+
+
+KEY = "'src/' || lang || '/doc_' || doc_id || '.txt:0-1'"
+
+
+@query(f"""with {BM25}, k as (select {KEY} as key, text, row_number() over (order by {L2}, {KEY}) as ra from embeddings e join documents on doc_id = vec_id, {Q0} q qualify ra <= 10),
+    l as (select {KEY} as key, text, row_number() over (order by bm25, {KEY}) as rb from b join documents using (doc_id) join embeddings on vec_id = doc_id qualify rb <= 10),
+    f as (select coalesce(k.key, l.key) as key, coalesce(k.text, l.text) as text, ra, rb, coalesce(1 / (60 + ra), 0) + coalesce(1 / (60 + rb), 0) as score from k full join l using (key))
+    select (row_number() over (order by score desc, ra nulls last, rb nulls last, key))::int as rank, '[' || printf('%.4f', score) || '] ' || key || chr(10) || text || chr(10) || '---' as line from f
+    order by score desc, ra nulls last, rb nulls last, key limit 10""".replace("from documents)", "from documents where doc_id in (select vec_id from embeddings))"))
+def grep_report(spark, d):
+    docs = read(spark, d, "documents").join(read(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    made = docs.select(F.format_string("src/%s/doc_%d.txt", "lang", "doc_id").alias("file"), F.lit(0).alias("start_line"), F.lit(1).alias("end_line"), F.col("text").alias("content"), "embedding")
+    return report.found_rows(commands.grep(made, PHRASE, first_vector(spark, d), 10))
 
 
 LINES = "(select doc_id as file, unnest(string_split(rtrim_nl, chr(10))) as content, generate_subscripts(string_split(rtrim_nl, chr(10)), 1) - 1 as start_line from (select doc_id, regexp_replace(text, '\\n$', '') as rtrim_nl from documents))"
@@ -146,6 +183,19 @@ def path_parts(spark, d):
     return read(spark, d, "pages").select("page_id", tx.file_dir(F.col("url")).alias("dir"), tx.file_stem(F.col("url")).alias("stem"), tx.detect_language(F.col("url")).alias("language"))
 
 
+KINDS = ["rs", "PY", "pyw", "pyi", "js", "mjs", "cjs", "ts", "tsx", "jsx", "java", "c", "h", "Cpp", "cc", "cxx", "hpp", "hxx", "go", "txt", "go.bak"]
+LANGUAGES = ["rust", "python", "python", "python", "javascript", "javascript", "javascript", "typescript", "typescript", None, "java", "c", "c", "cpp", "cpp", "cpp", "cpp", "cpp", "go", None, None]
+
+
+@query(f"""select p_partkey, ({[x or "" for x in LANGUAGES]})[1 + p_partkey % {len(KINDS) + 2}] as language from part where p_partkey % {len(KINDS) + 2} < {len(KINDS)} and ({[x or "" for x in LANGUAGES]})[1 + p_partkey % {len(KINDS) + 2}] <> ''
+    union all select p_partkey, 'go' from part where p_partkey % {len(KINDS) + 2} = {len(KINDS) + 1}""")
+def detect_language(spark, d):
+    """Every extension, some in capitals, none at all, and a path without a dot that is an extension itself; those without a language are left out."""
+    n = F.col("p_partkey") % (len(KINDS) + 2)
+    path = F.when(n == len(KINDS), "Makefile").when(n == len(KINDS) + 1, "go").otherwise(F.concat(F.lit("a.b/"), "p_name", F.lit("."), F.get(F.array(*map(F.lit, KINDS)), n.cast("int"))))
+    return read(spark, d, "part").select("p_partkey", tx.detect_language(path).alias("language")).filter("language is not null")
+
+
 @query("select p_partkey, substr(regexp_replace(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) as slug from part")
 def slugs(spark, d):
     return read(spark, d, "part").select("p_partkey", tx.slugify(F.col("p_name")).alias("slug"))
@@ -158,20 +208,31 @@ def call_references(spark, d):
 
 
 def code_files(spark, d):
-    """One file a supplier, in its nation's folder: it defines a function and calls those that share a part with it."""
+    """One file a supplier, in its nation's folder or at the root. It defines a function and a class, some also a structure, and calls those of
+    suppliers that share a part with it. Calls in comments, to names on the stop list and to names that many files define lead nowhere."""
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     supply = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("k")).distinct()
     calls = supply.join(supply.withColumnRenamed("k", "o"), "p").filter("k <> o").select("k", "o").distinct()
-    body = calls.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("  fun_%d(1)", "o"))), "\n").alias("body"))
-    text = F.concat(F.format_string("def fun_%d():\n", "s_suppkey"), F.coalesce("body", F.lit("  pass")))
-    out = s.join(body, F.col("s_suppkey") == F.col("k"), "left")
-    return out.select(F.format_string("n%d/s%d.py", "s_nationkey", "s_suppkey").alias("file"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("subsystem"), text.alias("text"))
-
-
-CODE = """s as (select s_suppkey as k, 'n' || s_nationkey as subsystem, 'n' || s_nationkey || '/s' || s_suppkey || '.py' as file from supplier),
+    line = F.expr("format_string('  fun_%d(1)', o) || if(o % 2 = 0, format_string('\\n  Cls_%d::new (2)', o), '') || if(o % 3 = 0, format_string('\\n  Str_%d  (4)', o), '')")
+    body = calls.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    k = F.col("s_suppkey")
+    head = F.concat(F.format_string("  # fun_%d(9)\nimport os\n", k + 1), F.when(k % 3 == 0, F.format_string("struct Str_%d", k)).otherwise("impl Foo"), F.format_string("\ndef fun_%d():\n", k))
+    tail = F.concat(F.format_string("\nclass Cls_%d:\n  pass\ndef shared():\n  load(3)", k), F.when(k == 1, F.lit("\ndef load():\n  pass")).otherwise(""))
+    out = s.join(body, k == F.col("k"), "left")
+    file = F.when(F.col("s_nationkey") == 0, F.format_string("s%d.py", k)).otherwise(F.format_string("n%d/s%d.py", "s_nationkey", k))
+    text = F.concat(head, F.coalesce("body", F.lit("  pass")), tail)
+    return out.select(file.alias("file"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("subsystem"), text.alias("text"), "s_nationkey", "s_suppkey")
+
+
+CODE = """s as (select s_suppkey as k, s_nationkey as nat, 'n' || s_nationkey as subsystem, case when s_nationkey = 0 then '' else 'n' || s_nationkey || '/' end || 's' || s_suppkey || '.py' as file from supplier),
     sp as (select distinct l_partkey as p, l_suppkey as k from lineitem),
-    e as (select distinct a.file as from_file, b.file as to_file, a.subsystem as sf, b.subsystem as st, 'fun_' || b.k as name
-          from sp x join sp y on x.p = y.p and x.k <> y.k join s a on a.k = x.k join s b on b.k = y.k)"""
+    co as (select distinct x.k, y.k as o from sp x join sp y on x.p = y.p and x.k <> y.k),
+    names as (select k, unnest(['fun_' || k] || case when k % 2 = 0 then ['Cls_' || k] else [] end || case when k % 3 = 0 then ['Str_' || k] else [] end) as name from s),
+    e as (select a.file as from_file, b.file as to_file, a.subsystem as sf, b.subsystem as st, string_agg(name, ',' order by name) as name
+          from co join s a on a.k = co.k join s b on b.k = co.o join names on names.k = co.o group by all),
+    m as (select s.k, greatest(1, count(o) + count(o) filter (o % 2 = 0) + count(o) filter (o % 3 = 0)) as m from s left join co on co.k = s.k group by s.k),
+    ch as (select s.*, unnest([{'n': 0, 'a': 0, 'b': 3, 'name': null}, {'n': 1, 'a': 3, 'b': 3 + m, 'name': 'fun_' || k}, {'n': 2, 'a': 4 + m, 'b': 5 + m, 'name': 'Cls_' || k}, {'n': 3, 'a': 6 + m, 'b': 7 + m, 'name': 'shared'}]
+           || case when k = 1 then [{'n': 4, 'a': 8 + m, 'b': 9 + m, 'name': 'load'}] else [] end, recursive := true) from s join m using (k))"""
 
 
 @query(f"with {CODE} select from_file, to_file, name as via from e")
@@ -191,12 +252,74 @@ def entry_points(spark, d):
     return symbols.entry_points(symbols.edges_into(symbols.symbol_edges(files), files.select("subsystem", "file"))).drop("via")
 
 
-@query(f"with {CODE} select subsystem, min(regexp_replace(file, '\\.py$', '')) || ': ' || array_to_string(list_slice(list('fun_' || k order by file), 1, 7), ', ') as description from s group by subsystem")
-def subsystem_description(spark, d):
+def code_chunks(spark, d):
+    """Chunks of the code; a file's vector tells its nation, and a little of its supplier."""
     files = code_files(spark, d)
-    centre = files.groupBy("subsystem").agg(F.min("file").alias("file"))
-    made = files.select("file", F.lit(0).alias("start_line"), F.col("text").alias("content"))
-    return clusters.descriptions(made, files.select("subsystem", "file"), centre)
+    made = chunks.chunked(files.select("file", tx.detect_language(F.col("file")).alias("language"), "text"))
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: (i == F.col("s_nationkey")).cast("int").cast("float"))
+    vector = F.concat(one_hot, F.array(((F.col("s_suppkey") % 7) / F.lit(100.0)).cast("float")))
+    return made.join(files.select("file", vector.alias("embedding")), "file")
+
+
+@query(f"with {CODE} select file, a as start_line, b as end_line, name from ch")
+def chunk_code(spark, d):
+    return code_chunks(spark, d).select("file", "start_line", "end_line", tx.item_name(F.col("content")).alias("name"))
+
+
+@query("select * from (values " + ", ".join("('%s', %d, %d, '%s')" % (f, a, b, t.replace("'", "''")) for f, a, b, t in EXPECTED_CHUNKS) + ") as t(file, start_line, end_line, first_line)")
+def chunk_kinds(spark, d):
+    """Definitions of every language, in modules, broken code and code with braces in strings."""
+    files = spark.createDataFrame(SOURCES, "file string, text string").withColumn("language", tx.detect_language(F.col("file")))
+    return chunks.chunked(files).select("file", "start_line", "end_line", F.get(F.split("content", "\n"), 0).alias("first_line"))
+
+
+#: Files by distance to the centroid of their nation, and descriptions.
+MAP = f"""{CODE},
+    x as (select k, nat, file, ((k % 7) / 100.0)::float::double as x from s),
+    u as (select *, avg(x) over (partition by nat) as c from x),
+    far as (select *, 1 - (1 + x * c) / (sqrt(1 + x * x) * sqrt(1 + c * c)) as d from u),
+    mid as (select nat, arg_min(file, (d, file)) as centre, count(*) as files, min(file) as least from far group by nat),
+    nm as (select nat, name, ch.file <> centre as other, ch.file, n from ch join mid using (nat) where name is not null and (ch.file = centre or name <> 'shared')),
+    d as (select nat, regexp_replace(any_value(centre), '\\.py$', '') || ': ' || array_to_string(list_slice(list(name order by other, file, n), 1, 7), ', ') as description from nm join mid using (nat) group by nat),
+    r as (select nat, count(*) as chunks, string_agg(ch.file || ':' || a || '-' || b, ',' order by far.d, ch.file, a) as refs from ch join far using (k, nat) group by nat),
+    sub as (select nat, (row_number() over (order by chunks desc, files desc, least))::int as id, description, refs,
+            substr(regexp_replace(regexp_replace(lower(description), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) as name from d join r using (nat) join mid using (nat))"""
+
+
+@query(f"with {MAP} select 'n' || nat as subsystem, description from sub")
+def subsystem_description(spark, d):
+    made, files = code_chunks(spark, d), code_files(spark, d).select("subsystem", "file")
+    centre = clusters.representatives(mapping.file_units(made).join(files, "file"), "subsystem", "file", "embedding").select("subsystem", "file")
+    return clusters.descriptions(made.select("file", "start_line", "content"), files, centre)
+
+
+def code_map(spark, d):
+    scratch = Scratch(spark, "code")
+    made = scratch.write(code_chunks(spark, d), "chunks")
+    return mapping.build_map(made, F.array(F.length("description").cast("float"), F.lit(1.0).cast("float")), scratch=scratch)
+
+
+@query(f"with {MAP} select id, name, description, refs from sub")
+def semantic_map(spark, d):
+    refs = F.array_join(F.transform("chunks", lambda c: tx.chunk_ref(c["file"], c["start_line"], c["end_line"])), ",")
+    return code_map(spark, d)[0].select("id", "name", "description", refs.alias("refs"))
+
+
+@query(f"""with {MAP}, first as (select st, from_file, arg_min(name, to_file) as via from e where sf <> st group by st, from_file),
+    ep as (select st, chr(10) || '  entry points:' || string_agg(chr(10) || '    ' || from_file || ' (via ' || replace(via, ',', ', ') || ')', '' order by from_file) as callers from first group by st)
+    select id, '## ' || name || ' — ' || description || coalesce(callers, '') || chr(10) || '  ' || replace(refs, ',', chr(10) || '  ') as line
+    from sub left join ep on st = 'n' || nat order by abs(length(description) - 60), id limit 1""")
+def map_report(spark, d):
+    """The subsystem whose description is nearest to a query, as it is printed."""
+    subsystems, edges = code_map(spark, d)
+    return commands.map_rows(subsystems, edges, [60.0, 1.0])
+
+
+@query(f"with {MAP} select id, unnest(string_split(refs, ',')) as ref from sub")
+def map_document(spark, d):
+    """The map written as one JSON document and read again."""
+    subsystems, _ = mapping.from_document(mapping.document(*code_map(spark, d)))
+    return subsystems.select("id", F.explode("chunks").alias("c")).select("id", tx.chunk_ref(F.col("c.file"), F.col("c.start_line"), F.col("c.end_line")).alias("ref"))
 
 
 def session_lines(spark, d):
@@ -246,29 +369,139 @@ def latest_sessions(spark, d):
     return read(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "session_id").limit(5)
 
 
+#: Sessions that stay as they are, grow slowly, grow fast, and start large.
+GROWN = "tokens * 100 * (case user_id % 4 when 0 then 1 when 1 then turn_no when 2 then 8 + turn_no else 20 end)"
+GROWN_SQL = f"select user_id as session_id, ({GROWN})::bigint as tokens, turn_no, n from (select *, session_id as user_id from ({EVENTS}))"
+
+
+def grown_turns(spark, d):
+    return event_turns(spark, d).withColumn("user_id", F.col("session_id")).select("session_id", "turn_no", F.expr(GROWN).cast("long").alias("tokens"))
+
+
+TOKENS = "case when {0} >= 1000000 then printf('%.1fM', round_even({0} / 1e6, 1)) when {0} >= 1000 then printf('%.0fk', round_even({0} / 1e3, 0)) else {0}::bigint::varchar end"
+LABEL = "case when waste >= 10 then printf('%.0fx !!!', round_even(waste, 0)) when waste >= 5 then printf('%.0fx !', round_even(waste, 0)) else printf('%.1fx', round_even(waste, 1)) end"
+GROWN_SESSIONS = f"""g as ({GROWN_SQL}), w as (select session_id, count(*) as n_turns, sum(tokens)::bigint as total, avg(tokens) filter (turn_no <= 5) as baseline, avg(tokens) filter (n - turn_no < 3) as latest,
+    avg(tokens) filter (n - turn_no < 3) / avg(tokens) filter (turn_no <= 5) as waste, max(tokens) as top from g group by session_id)"""
+
+
+@query(f"with {GROWN_SESSIONS} select session_id, {LABEL} as label, {TOKENS.format('total')} as total_text, {TOKENS.format('floor(baseline)')} as baseline_text from w")
+def session_labels(spark, d):
+    return usage.sessions(grown_turns(spark, d)).select("session_id", "label", "total_text", tx.format_tokens(F.floor("baseline")).alias("baseline_text"))
+
+
+@query(f"""with {GROWN_SESSIONS}, recent as (select user_id as session_id, max(ts) as modified from events group by user_id order by modified desc, user_id limit 5),
+    bars as (select session_id, string_agg(case when turn_no <= 5 or tokens / baseline < 2.5 then '' when tokens / baseline >= 5 then chr(27) || '[31m' else chr(27) || '[33m' end || substr('{usage.GLYPHS}', (floor(tokens / top * 7 + 0.5) + 1)::int, 1)
+             || case when turn_no <= 5 or tokens / baseline < 2.5 then '' else chr(27) || '[0m' end, '' order by turn_no) as bar from g join w using (session_id) group by session_id)
+    select session_id, rpad(session_id::varchar, 14, ' ') || ' ' || rpad(n_turns::varchar, 8, ' ') || ' ' || rpad({TOKENS.format('floor(baseline)')}, 12, ' ') || ' ' || rpad({TOKENS.format('floor(latest)')}, 12, ' ') || ' '
+    || case when waste < 2.5 then rpad({LABEL}, 10, ' ') else rpad(case when waste >= 5 then chr(27) || '[31m' else chr(27) || '[33m' end || {LABEL} || chr(27) || '[0m', 27, ' ') end
+    || ' ' || rpad({TOKENS.format('total')}, 10, ' ') || ' ' || bar as row from w join recent using (session_id) join bars using (session_id)""")
+def usage_report(spark, d):
+    """The rows of the usage table, in colour, of the five sessions that changed last."""
+    recent = usage.latest(read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("modified")))
+    return usage.report(grown_turns(spark, d), recent).select("session_id", "row")
+
+
+@query(f"""with {GROWN_SESSIONS}, r as (select user_id as session_id from events where floor(value) > 0 group by user_id order by max(ts) desc, user_id limit 1),
+    t as (select session_id, turn_no, tokens, baseline from g join w using (session_id) join r using (session_id) where turn_no > 5 order by tokens desc, turn_no desc limit 1)
+    select session_id, turn_no, tokens, 'Biggest spike (most recent session): turn ' || turn_no || ' — ' || {TOKENS.format('tokens')} || printf(' (%.1fx baseline)', round_even(tokens / baseline, 1)) as line from t""")
+def usage_spike(spark, d):
+    recent = usage.latest(read(spark, d, "events").filter("floor(value) > 0").select(F.col("user_id").alias("session_id"), F.col("ts").alias("modified")), 5)
+    return usage.biggest_spike(grown_turns(spark, d), recent)
+
+
+@query(SESSIONS.format(EVENTS))
+def usage_watch(spark, d):
+    """Session files written, watched, added to, and watched again: the second tick gives what a batch over everything gives."""
+    scratch, seen = Scratch(spark, "watch"), []
+    turns = event_turns(spark, d)
+    usage_of = F.struct(F.struct(F.col("tokens").alias("input_tokens")).alias("usage"))
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), usage_of.alias("message")))
+    for part in ("turn_no <= 20", "turn_no > 20"):
+        rows = turns.filter(part).select("session_id", "turn_no", line.alias("line"))
+        rows.repartition("session_id").sortWithinPartitions("session_id", "turn_no").select("session_id", "line").write.mode("append").partitionBy("session_id").text(scratch.path("sessions"))
+
+        def sink(lines: DataFrame, tick: int) -> None:
+            seen.append(scratch.write(usage.turns(lines).withColumn("session_id", F.col("session_id").cast("long")), f"turns-{tick}"))
+
+        watch.watch(spark, scratch.path("sessions"), scratch.path("checkpoint"), sink, pattern="*.txt").awaitTermination()
+    return rounded_sessions(seen[-1])
+
+
 @query("select event_id, json_extract(props, '$.k')::bigint as k from events")
 def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
 def snapshots(spark, d):
-    """Yesterday's documents lack every tenth one; today's lack every seventh, and every fifth has changed."""
+    """Yesterday's documents lack every tenth one; today's lack every seventh, every fifth has changed, and every eleventh has another path."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    return docs.filter("path % 10 <> 3"), docs.filter("path % 7 <> 2").withColumn("content", F.when(F.col("path") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    now = docs.filter("path % 7 <> 2").select(F.expr("if(path % 11 = 4, path + 10000000, path)").alias("path"), F.expr("if(path % 5 = 0, content || '!', content)").alias("content"))
+    return docs.filter("path % 10 <> 3"), now
+
 
+SNAPSHOTS = """old as (select doc_id as path, text as content from documents where doc_id % 10 <> 3),
+    new as (select case when doc_id % 11 = 4 then doc_id + 10000000 else doc_id end as path, case when doc_id % 5 = 0 then text || '!' else text end as content from documents where doc_id % 7 <> 2),
+    came as (select path, content, row_number() over (partition by content order by path) as k from new where path not in (select path from old)),
+    gone as (select path, content, row_number() over (partition by content order by path) as k from old where path not in (select path from new)),
+    changes as (select 'M' as op, path, null::bigint as from_path from old join new using (path) where old.content <> new.content
+        union all select case when g.path is null then 'A' when c.path is null then 'D' else 'R' end, coalesce(c.path, g.path), case when c.path is not null then g.path end from came c full join gone g on c.content = g.content and c.k = g.k)"""
 
-@query("select case when doc_id % 10 = 3 then 'A' when doc_id % 7 = 2 then 'D' else 'M' end as op, doc_id as path from documents where (doc_id % 10 = 3) <> (doc_id % 7 = 2) or (doc_id % 10 <> 3 and doc_id % 7 <> 2 and doc_id % 5 = 0)")
+
+@query(f"with {SNAPSHOTS} select op, path, from_path from changes")
 def change_feed(spark, d):
     return store.diff(*snapshots(spark, d))
 
 
-@query("select doc_id as path, case when doc_id % 5 = 0 then text || '!' else text end as content from documents where doc_id % 7 <> 2")
+@query(f"with {SNAPSHOTS} select path, content from new")
 def incremental_merge(spark, d):
     old, new = snapshots(spark, d)
     changes = store.diff(old, new)
     return store.merge(old, changes, new.join(changes.select("path"), "path", "left_semi"))
 
 
+class Blank(embedding.Provider):
+    """Vectors that resemble nothing, so each file is a subsystem."""
+
+    name, dimension = "blank", 2
+
+    def column(self, text):
+        return F.array(F.lit(0.0), F.lit(0.0))
+
+
+def indexed_twice(spark, d):
+    """Yesterday's files indexed, then today's changes; every thirteenth of today's files cannot be read."""
+    old, new = snapshots(spark, d)
+    new = new.withColumn("content", F.expr("if(path % 13 <> 5, content, null)"))
+    old, new = (x.select(F.concat(F.lit("f"), F.col("path").cast("string"), F.lit(".txt")).alias("path"), "content") for x in (old, new))
+    kept = store.Store(spark, Scratch(spark, "store").root)
+    commands.index(kept, old, Blank(), "yesterday")
+    return kept, commands.index(kept, new, Blank(), "today", store.diff(old, new), batches=2)
+
+
+@query(f"with {SNAPSHOTS} select 'f' || path || '.txt' as file, 0 as start_line, len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) as end_line, content from new where path % 13 <> 5")
+def index_update(spark, d):
+    """The store after an index run and an update by a change feed holds today's readable files."""
+    return indexed_twice(spark, d)[0].read("chunks").drop("embedding")
+
+
+@query(f"""with {SNAPSHOTS}, unread as (select path from new where path % 13 = 5 and content is not null),
+    same as (select path from old join new using (path) where old.content = new.content and path % 13 <> 5)
+    select (select count(*) from new where path % 13 <> 5 and path not in (select path from same)) as indexed,
+           (select count(*) from new where path % 13 <> 5 and path not in (select path from same)) as chunks,
+           (select count(*) from unread) as skipped, (select count(*) from old where path not in (select path from new)) as deleted, 0::bigint as resumed""")
+def index_summary(spark, d):
+    """Counts of the update: unreadable files are skipped, paths that are gone are deleted."""
+    return indexed_twice(spark, d)[1].stats
+
+
+@query(f"select file, start_line, start_line + 1 as end_line, content from {LINES}")
+def chunk_json(spark, d):
+    """Chunks as a JSON array a file, and read again."""
+    made = doc_lines(spark, d).select(F.col("file").cast("string").alias("file"), "start_line", "end_line", "content", F.array(F.lit(0.5).cast("float")).alias("embedding"))
+    rows = store.parsed_chunks(store.chunk_file_lines(made))
+    return rows.select(F.col("file").cast("long").alias("file"), "start_line", "end_line", "content")
+
+
 @query(f"select count(distinct file) as files, count(*) as chunks from {LINES}")
 def index_stats(spark, d):
     return doc_lines(spark, d).agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("chunks"))
@@ -280,13 +513,17 @@ def embed_placeholder(spark, d):
     return v.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query()
+#: Vectors of a label point one way, so each label is a community, named by its least member.
+@query("select vec_id as node, min(vec_id) over (partition by label) as community from embeddings where label is not null")
 def communities(spark, d):
-    rows = read(spark, d, "embeddings")
-    return clusters.communities(clusters.similar_pairs(rows, "vec_id", "embedding"), rows, "vec_id")
+    rows = read(spark, d, "embeddings").filter("label is not null")
+    nudge = (F.col("vec_id") % 5) / F.lit(50.0)
+    rows = rows.select("vec_id", F.concat(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (i == F.col("label")).cast("double")), F.array(nudge)).alias("v"))
+    return clusters.communities(clusters.similar_pairs(rows, "vec_id", "v"), rows, "vec_id")
 
 
 @query()
-def chunk_code(spark, d):
-    files = code_files(spark, d)
-    return chunks.chunked(files.select("file", tx.detect_language(F.col("file")).alias("language"), "text"))
+def communities_of_vectors(spark, d):
+    """Over the vectors as they are; communities have no SQL."""
+    rows = read(spark, d, "embeddings")
+    return clusters.communities(clusters.similar_pairs(rows, "vec_id", "embedding"), rows, "vec_id")
