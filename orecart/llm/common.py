@@ -2,54 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can read, from spark.checkpoint.dir.
-
-    Only where the setting is missing and Spark runs in one process (tests) is a temporary folder used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="orecart-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Scratch:
-    """Intermediate tables of one operator run, written under the shared folder.
-
-    A written table cuts the lineage: later stages read committed files, so a lost executor repeats only its own tasks.
-    """
-
-    def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from orecart.operators.graph import connected_components, streamed  # noqa: F401
+from orecart.sources.scratch import Scratch, shared_dir  # noqa: F401
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def per_worker(key: tuple, make):
@@ -79,58 +38,3 @@ def lowered_words(data: bytes | None) -> list[bytes]:
     rule on UTF-8 without decoding.
     """
     return data.lower().split() if data else []
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 40) -> DataFrame:
-    """(node, component) of every node of an edge list (src, dst); component is the least node that is reachable.
-
-    Alternating large-star and small-star (Kiveris et al., 2014). Each round is one grouped minimum (combined before the
-    shuffle) and one join on the node, which Spark can split when a node is a hub. Rounds grow with the logarithm of the longest
-    path. Tables of links only; nothing is collected.
-    """
-    now = scratch.write(
-        edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(),
-        f"{name}-0",
-    )
-    signature = None
-    for k in range(1, rounds + 1):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            # a node that has smaller neighbours keeps its own link to the least of them
-            least.filter("m < u").select("u", F.col("m").alias("v"))
-        ).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        now = scratch.write(small, f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
-        said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(said) == signature:
-            break
-        signature = tuple(said)
-    else:
-        raise RuntimeError("components did not settle; raise rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
-
-
-def streamed(key: list[str], each) -> object:
-    """A mapInPandas function over rows sorted by `key`: `each` gets whole runs of keys, a batch at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            b = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if b.empty:
-                continue
-            same = np.ones(len(b), bool)
-            for c in key:
-                same &= (b[c] == b[c].iloc[-1]).to_numpy()
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield from each(b.iloc[:cut].reset_index(drop=True))
-            held = b.iloc[cut:]
-        if held is not None and len(held):
-            yield from each(held.reset_index(drop=True))
-
-    return run
