@@ -27,11 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables of one operator run, written under the shared folder.
 
-    A written table cuts the lineage: later stages read committed files, so a lost executor repeats only its own tasks.
+    A written table cuts the lineage: later stages read committed files, so a lost executor repeats only its own tasks. What is left,
+    the tables that results are read from, goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
