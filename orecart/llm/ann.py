@@ -4,7 +4,9 @@ Codes: principal axes of a bounded sample, turned by rotations that iterative qu
 coordinate; several rotations give longer codes than there are dimensions. Index: codes are cut into substrings, each with a table of
 its values. Probing: two codes within Hamming distance r agree in some substring up to r // substrings (pigeonhole), so probing
 those values of every table finds every code within r; the whole distance then decides, and floats rank what is left. The radius
-comes from the sample. A query that finds fewer than k codes within it is searched again with a larger one, up to all codes.
+comes from the sample. A query that finds fewer than k codes within it is searched again with a larger one, up to all codes. How much
+probing leaves out depends on the data: where neighbours differ in two bits of five, as among vectors without groups, nearly all
+values of a substring lie within its share of the radius, and the test of whole codes does the sorting out.
 
 Queries meet rows in blocks: each task indexes one block of rows and serves one block of queries, so memory is bounded by the block
 sizes, and only the best k of each block are shuffled.
@@ -83,12 +85,8 @@ class Index:
         found = np.zeros(len(self.codes), bool)
         for s, (order, values, starts) in enumerate(self.tables):
             near = np.bitwise_count(values ^ code[s]) <= probe
-            if near.all():
-                found[:] = True
-                break
             found[order[np.repeat(near, np.diff(starts))]] = True
-            if found.mean() > 0.95:  # the rest of the tables can add little: test all codes
-                found[:] = True
+            if found.all():
                 break
         rows = np.flatnonzero(found)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
@@ -104,20 +102,22 @@ def valid_vectors(rows: DataFrame, id_: str, vector: str) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (inner product in double precision) of the k rows nearest to each query, itself left out.
 
-    Both tables have (id, vector). Vectors that are null, empty, zero or hold null or non-finite components, and null ids, take no part; nor do
-    vectors of another dimension than the commonest. Ties go to the smaller id; repeated rows are candidates once for each id and
-    vector. With fewer than k candidates all are returned; with none, no rows.
+    Both tables have (id, vector). Vectors that are null, empty, zero or hold null or non-finite components, and null ids, take no part;
+    queries are compared with rows of their own dimension. Ties go to the smaller id; repeated rows are candidates once for each id and
+    vector, and an id with several vectors is asked and found with each. With fewer than k candidates all are returned; with none, no
+    rows. Other columns are ignored, whatever their names. Codes are learned for the commonest dimension, from about SAMPLE rows; the few
+    rows of any other are compared by floats alone.
     """
     spark = rows.sparkSession
-    data = valid_vectors(rows, id_, vector).filter("vec_id is not null").distinct()
-    asked = valid_vectors(queries, id_, vector).filter("vec_id is not null").distinct()
-    kinds = data.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    data = valid_vectors(rows, id_, vector).filter("vec_id is not null").distinct().withColumn("d", F.size("v"))
+    asked = valid_vectors(queries, id_, vector).filter("vec_id is not null").distinct().withColumn("d", F.size("v"))
+    kinds = data.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not kinds:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = kinds[0]["d"], kinds[0]["n"]
-    data, asked = data.filter(F.size("v") == d), asked.filter(F.size("v") == d)
     n_queries = asked.count()
-    drawn = data.filter(F.pmod(F.xxhash64("vec_id", F.lit("ann sample")), F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20)).orderBy("vec_id").limit(2 * SAMPLE).select("v").toPandas()
+    dice = F.pmod(F.xxhash64("vec_id", F.lit("ann sample")), F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20)
+    drawn = data.filter((F.col("d") == d) & dice).orderBy("vec_id").limit(2 * SAMPLE).select("v").toPandas()
     x = np.array([np.asarray(r) for r in drawn["v"]]) if len(drawn) else np.eye(d)
     codes = learn(x, k)
     shared = spark.sparkContext.broadcast((codes.mean, codes.turns, codes.radius))
@@ -129,14 +129,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id"
         if own.empty or asking.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         codes = Codes(*shared.value)
-        ids, x = own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy())
-        index, q = Index(codes.encode(x)), np.stack(asking["v"].to_numpy())
-        bits = 16 * index.codes.shape[1]
+        ids, x, q = own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()), np.stack(asking["v"].to_numpy())
+        coded = x.shape[1] == len(codes.mean)
+        index = Index(codes.encode(x)) if coded else None
+        bits = 16 * index.codes.shape[1] if coded else 0
         out = []
-        for query, vector_, code in zip(asking["vec_id"], q, codes.encode(q), strict=True):
+        for query, vector_, code in zip(asking["vec_id"], q, codes.encode(q) if coded else q, strict=True):
             radius = codes.radius
-            near = index.within(code, radius)
-            while len(near) < min(k + 1, len(ids)) and radius < bits:
+            near = index.within(code, radius) if coded else np.arange(len(ids))
+            while coded and len(near) < min(k + 1, len(ids)) and radius < bits:
                 radius = min(bits, radius + 16)
                 near = index.within(code, radius)
             near = near[ids[near] != query]
@@ -145,7 +146,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id"
             out.append((np.full(len(best), query), ids[near[best]], scores[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    keys = ["row_block", "query_block"]
+    keys = ["d", "row_block", "query_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(serve, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
