@@ -34,6 +34,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     * null URL, or one without `://`: host and path empty, rule null, verdict `default`.
     * rules with null or empty host fit nothing; a null path counts as empty and fits every path.
     * repeated rows and repeated URLs stay; an empty table gives an empty result; no rules give `default` throughout.
+    * of equal rules with different verdicts `block` wins.
 
     Distinct URLs are expanded only into the shapes (labels, path length) that rules have, so very long hosts and paths cost no
     more than short ones. The join is on 32 bits of SHA-256; the whole digest confirms. The number of distinct shapes is bounded by
@@ -62,5 +63,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         (F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"), (F.col("r_verdict") == "block").cast("int").alias("c")
     )
     best = hits.groupBy("_url").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("_best"))
-    joined = parsed.join(best, parsed[url] == best["_url"], "left")
+    # rows without a url or host have no hit; they stay out of the join, where they would all meet in one task
+    has = F.col(url).isNotNull() & (F.col("host") != "")
+    met = parsed.filter(has).join(best, parsed[url] == best["_url"], "left")
+    none = parsed.filter(~has).withColumns({"_url": F.lit(None).cast("string"), "_best": F.lit(None).cast(best.schema["_best"].dataType)})
+    joined = met.unionByName(none)
     return joined.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_url", "_best")
