@@ -33,8 +33,9 @@ MARK = b" \x01 "
 class WordMemo:
     """Ids, as little-endian unsigned 32-bit, of a word between ASCII white space.
 
-    The tokenizer's normaliser and pre-tokeniser never join text across white space, so words can be encoded one by one. A full memo
-    becomes the older one, whose words come back when they are met again, so frequent words are never encoded anew.
+    Where the tokenizer's normaliser and pre-tokeniser never join text across white space, which a few texts show, words are encoded one
+    by one; else whole texts are. A full memo becomes the older one, whose words come back when they are met again, so frequent words are
+    never encoded anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,6 +44,8 @@ class WordMemo:
 
         self.tokenizer, self.now, self.older = Tokenizer.from_file(path), {}, {}
         self.mark = self.ids(MARK.decode())
+        lines = ["the cat's 12 mats", "Über 3,5 Straßen\n\tno.", "a  b \n c"]
+        self.by_word = all(self.ids(t) == array("I", [i for w in t.split() for i in self.ids(w)]) for t in lines)
 
     def ids(self, text: str) -> array:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -62,7 +65,7 @@ class WordMemo:
         """Ids of a text in UTF-8."""
         if not data:
             return b""
-        if any(c in data for c in ODD_SPACE):
+        if not self.by_word or any(c in data for c in ODD_SPACE):
             return self.ids(data.decode("utf-8", "replace")).tobytes()
         words = data.split()
         if unmet := set(words).difference(self.now):
@@ -171,7 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, scratch: Scratch
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of `docs` (doc_id, text).
 
     Null or empty text: a piece of the end id alone. Null ids, repeated rows and repeated ids are packed as rows of their own. An empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Texts of any length are packed whole; of equal lengths it does not matter which goes where. Other columns are
+    ignored, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession, "packing")
     pieces = scratch.write(tokenised_pieces(docs, tokenizer, capacity), "pieces")  # ranks are fixed from here on
