@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orecart.llm.common import fold, per_worker
+from orecart.llm.common import Scratch, fold, per_worker
 
 GRAMS = (2, 3, 4)
 #: Rows of each language that are learned from (expected number: rows are drawn by a hash of id and text), n-grams kept for each language,
@@ -55,15 +55,12 @@ class Filters:
     false: np.ndarray  # a language's chance to hold an n-gram that was not added
 
 
-def build(counts: pd.DataFrame) -> Filters:
-    """Filters from (lang, gram, n), languages by name."""
-    sizes = counts.groupby("lang")["n"].sum()
-    languages, counts = sorted(sizes.index), counts.copy()
-    counts["freq"] = counts["n"] / counts["lang"].map(sizes)
-    counts = counts[counts["freq"] >= SHARE * counts.groupby("gram")["freq"].transform("max")]
+def build(counts: pd.DataFrame, keep: int = KEEP, languages: list[str] | None = None) -> Filters:
+    """Filters from (lang, gram, n) of the n-grams to take, languages by name; each language's `keep` most frequent n-grams, ties by n-gram."""
+    languages = sorted(set(counts["lang"])) if languages is None else languages
     table = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
     for bit, lang in enumerate(languages):
-        own = counts[(counts["lang"] == lang) & (counts["n"] >= LEAST)].sort_values(["n", "gram"], ascending=[False, True]).head(KEEP)
+        own = counts[counts["lang"] == lang].sort_values(["n", "gram"], ascending=[False, True]).head(keep)
         at = np.array([s for g in own["gram"] for s in slots(g)], np.int64)
         table[bit // 64, at] |= np.uint64(1) << np.uint64(bit % 64)
     share = np.array([((table[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(languages))])
@@ -148,11 +145,13 @@ def _drawn(docs: DataFrame, folds: int, held: int, sample_rows: int) -> DataFram
     return drawn.select("text", "lang", back.alias("held_back"))
 
 
-def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> Filters:
-    """Filters from training rows of (doc_id, text, lang): fold other than `held`, lang not null.
+def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, keep: int = KEEP) -> Filters:
+    """Filters from training rows of (doc_id, text, lang): fold other than `held`, lang not null. Null and empty texts teach nothing.
 
     Each language gives about `sample_rows` rows, drawn by a hash of id and text at a rate from an exact count, so the work is bounded
-    whatever the corpus, and half of LEAST_ROWS at least where it has as many different rows. n-grams are counted per task first, then summed by n-gram. Rows that are held back serve `floors`.
+    whatever the corpus, and half of LEAST_ROWS at least where it has as many different rows. n-grams are counted per task first, then summed
+    by n-gram; only those that may enter a filter come to the driver, and `keep` bounds a filter's size: rarer ones say little, and a larger
+    bound takes all. Rows that are held back serve `floors`. Other columns are ignored, whatever their names.
     """
     drawn = _drawn(docs, folds, held, sample_rows)
     if drawn is None:
@@ -175,14 +174,24 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample_rows: int = SAMPL
             yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
     summed = drawn.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return build(summed.filter(F.col("n") >= LEAST).toPandas())
+    # what is too rare, in itself or beside another language, is left out before it comes to the driver
+    summed = Scratch(docs.sparkSession, "langid").write(summed.filter(F.col("n") >= LEAST), "grams")
+    sizes = {r["lang"]: r["n"] for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not sizes:
+        return build(pd.DataFrame({"lang": [], "gram": [], "n": []}), keep)
+    freq = F.col("n") / F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in (pair[0], float(pair[1]))])[F.col("lang")]
+    top = F.max("freq").over(Window.partitionBy("gram"))
+    kept = summed.withColumn("freq", freq).withColumn("top", top).filter(F.col("freq") >= SHARE * F.col("top"))
+    return build(kept.select("lang", "gram", "n", "freq").toPandas(), keep, sorted(sizes))
 
 
 def predict(docs: DataFrame, model: Filters, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of (doc_id, text).
 
-    A null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned. Rows are independent: repeated
-    rows and null ids get their own results. The filters sent out have a fixed size for each 64 languages.
+    A null or empty text, or one without a letter, is `und` with score 0, as is every text if nothing was learned. A text with letters but
+    without a known n-gram gets the language first by name, with score 0, as ties do. Texts of any length are read whole. Rows are
+    independent: repeated rows and null ids get their own results, and an empty table gives none. The filters sent out have a fixed size
+    for each 64 languages. Other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false))
     key = ("langid", uuid.uuid4().hex)
@@ -224,7 +233,10 @@ def floors(docs: DataFrame, model: Filters, folds: int = 4, held: int = 2, sampl
 
 
 def accepted(docs: DataFrame, model: Filters, least: dict[str, float] | None = None) -> DataFrame:
-    """The rows of `docs`, unchanged, whose text has a language: letters, n-grams that it holds, and as many as `least` asks for."""
+    """The rows of `docs`, unchanged, whose text has a language: letters, n-grams that it holds, and as many as `least` asks for.
+
+    Null and empty texts, and those without a known n-gram, go. Rows are judged one by one, repeated ones alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.false))
     key = ("langid", uuid.uuid4().hex)
 
