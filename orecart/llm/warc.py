@@ -1,8 +1,8 @@
 """WARC archives with revisit records: writing, deduplication by payload digest, reading.
 
 Headers (id, digest, length) are shuffled by payload digest to find the original of each group of equal payloads; payloads move once,
-to the archive they are written to. There are as many archives as the sum of payload bytes asks for, and a large archive goes on in
-another file after so many records, so one archive fits a reading task whatever the table. Archives are written by Spark's text
+to the archive they are written to. There are as many archives as the sum of payload bytes asks for (at least the partitions of a shuffle), and a
+large archive goes on in another file after so many records, so one archive fits a reading task whatever the table. Archives are written by Spark's text
 source, one record a row with the record separator as line end, so any file system that Spark writes to will do. Reading
 decompresses each archive step by step through a parser that follows Content-Length and gives out records in bounded batches.
 """
@@ -54,7 +54,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, compression:
     held = held.withColumns({"payload_digest": F.sha1(F.col("html").cast("binary")), "payload_bytes": F.octet_length("html").cast("long"), "name": F.coalesce(F.col("page_id").cast("string"), F.lit(""))})
     headers = held.select("page_id", "payload_digest", "payload_bytes")
     total = headers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
-    archives = max(1, -(-total["bytes"] // archive_bytes))
+    # with fewer partitions than Spark has for shuffles, it would deal the payloads once more
+    archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["bytes"] // archive_bytes))
     repeated = held.groupBy("name", "payload_digest").agg(F.min("place").alias("first_place"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     revisits = find_revisits(headers, min_bytes).select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name"), "payload_digest", "refers_to")
     notes = revisits.join(repeated, ["name", "payload_digest"], "full_outer")
