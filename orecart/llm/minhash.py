@@ -240,17 +240,19 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scra
     Repeated rows of an id and text count as one, which stays where its group keeps it; an id with several texts is a row for each. Texts
     without shingles and rows with a null id have no group and stay.
     """
-    all_, classes = _components(docs, size, percent, scratch or Scratch(docs.sparkSession, "minhash"))
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
+    all_, classes = _components(docs, size, percent, scratch)
     rows = all_.filter("doc_id is not null").join(classes.drop("doc"), ["n_shingles", "d1", "d2"], "left").groupBy("doc_id", F.coalesce("md5", F.lit("")).alias("md5")).agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("times"))
-    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "md5")).alias("f")).select("component", "f.*")
-    dropped = rows.filter("component is not null").join(first, ["component", "doc_id", "md5"], "left_anti").select("doc_id", "md5")
-    several = rows.filter("times > 1").join(dropped, ["doc_id", "md5"], "left_anti").select("doc_id", "md5")
-    # tables of a few rows beside the texts, which stay where they are
-    dropped, several = (t.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), F.lit(mark).alias("_mark")) for t, mark in ((dropped, "dropped"), (several, "several")))
-    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    marked = docs.join(dropped.unionByName(several), (F.col("doc_id").cast("long") == F.col("_id")) & (key == F.col("_md5")), "left")
-    once = marked.filter("_mark = 'several'").dropDuplicates(["_id", "_md5"])
-    return marked.filter("_mark is null").unionByName(once).select(*[docs[c] for c in docs.columns])
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "md5")).alias("f")).select("component", "f.*").withColumn("first", F.lit(True))
+    gone = F.col("component").isNotNull() & F.col("first").isNull()
+    marked = rows.join(first, ["component", "doc_id", "md5"], "left").filter(gone | (F.col("times") > 1))
+    # ids and digests only: the texts are read once more and move at most once
+    marks = scratch.write(marked.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), gone.alias("_gone")), "marks")
+    met = (F.col("doc_id").cast("long") == F.col("_id")) & (F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")) == F.col("_md5"))
+    out, several = docs.join(marks, met, "left_anti"), marks.filter("not _gone")
+    if several.limit(1).count():
+        out = out.unionByName(docs.join(several, met).dropDuplicates(["_id", "_md5"]).select(*[docs[c] for c in docs.columns]))
+    return out
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:

@@ -520,3 +520,114 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     toxicity.fit(docs, labels, positives=200, unlabelled=400, prior=0.25)
     (n, p, prior), = seen
     assert 140 < p < 270 and 320 < n - p < 480 and prior == 0.25
+
+
+def test_packing_by_whole_texts():
+    """A tokenizer that joins words to the space before them is asked for whole texts."""
+    import json
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"[UNK]": 0, "Ġb": 1, "a": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        f.write(tok.to_str())
+        f.flush()
+        memo = packing.WordMemo(f.name)
+        assert json.loads(tok.to_str()) and not memo.by_word and memo.encode(b"a b") == memo.ids("a b").tobytes() == np.array([2, 1], np.uint32).tobytes()
+    assert packing.WordMemo(P.path("word_bpe_49k.json")).by_word
+
+
+def test_packing_is_tight():
+    """Against the least number of sequences that the lengths allow, on mixed lengths."""
+    r = random.Random(17)
+    for capacity in (64, 512):
+        counts = {}
+        for _ in range(4000):
+            n = min(capacity, max(1, int(r.lognormvariate(3, 1.2))))
+            counts[n] = counts.get(n, 0) + 1
+        patterns = packing.plan(counts, capacity)
+        used = {}
+        for lengths, times in patterns:
+            assert sum(lengths) <= capacity
+            for n in lengths:
+                used[n] = used.get(n, 0) + times
+        assert used == counts
+        bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+        assert sum(t for _, t in patterns) <= max(bound, sum(c for n, c in counts.items() if 2 * n > capacity)) * 1.02 + 1
+
+
+def test_neighbours_awkward_rows(spark):
+    """Repeated rows, ids with several vectors, equal vectors of different labels and dimensions, clashing columns, an empty table."""
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 0), (7, [0.01, 1.0], 1), (8, [0.0, 1.0], 1), (9, [1.0, 0.0, 0.0], 0), (10, [2.0, 0.0], 0), (10, [2.0, 0.0], 0), (None, [1.0, 0.0], 0), (11, [], 0)]
+    df = spark.createDataFrame([(*x, 3, "z") for x in rows], "vec_id long, embedding array<double>, label int, component_id int, node string")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), str(r["kept"])) for r in neighbours.near_vectors(df).collect())
+    assert got == sorted([("5", 3, "5", "True"), ("5", 2, "5", "True"), ("6", 3, "5", "False"), ("7", 2, "5", "False"), ("8", 2, "5", "False"), ("9", 0, "9", "True"), ("10", 3, "5", "False"), ("10", 3, "5", "False"), ("None", 0, "None", "None"), ("11", 0, "11", "True")])
+    assert neighbours.near_vectors(df.limit(0)).count() == 0
+
+
+def test_ann_over_blocks(spark, monkeypatch):
+    """Several blocks of rows and queries, other dimensions, repeated rows and clashing columns; recall against brute force."""
+    monkeypatch.setattr(ann, "ROW_BLOCK", 300)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    r = np.random.default_rng(6)
+    x = r.standard_normal((1500, 16)).astype(np.float32)
+    x[40], x[1200] = x[41], x[1201]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist()), (2000, [1.0, 2.0]), (2020, [1.0, 1.0]), (2021, [3.0, 0.0]), (2040, [float("inf")] * 16), (None, x[0].tolist())]
+    df = spark.createDataFrame([(*v, 7, "q") for v in rows], "vec_id long, embedding array<float>, score int, d string")
+    got = ann.search(df, df.filter("vec_id % 20 = 0"), 20).toPandas()
+    ids = np.arange(1500)
+    want = {(q, v) for q, _, v in ann.brute_force(ids, x.astype(float), ids[ids % 20 == 0], 20)}
+    own = got[got["query_id"] < 2000]
+    assert len(want & set(zip(own["query_id"], own["vec_id"], strict=True))) >= 0.95 * len(want)
+    assert set(own.groupby("query_id").size()) == {20} and not (own["query_id"] == own["vec_id"]).any()
+    for q, g in own.sort_values("rank").groupby("query_id"):
+        exact = x[g["vec_id"]].astype(float) * x[q].astype(float)
+        assert np.allclose(g["score"], exact.sum(1), atol=1e-12) and g["rank"].tolist() == list(range(1, 21))
+        assert all(a > b or (a == b and i < j) for a, b, i, j in zip(g["score"], g["score"][1:], g["vec_id"], g["vec_id"][1:], strict=False))
+    assert [tuple(t) for t in got[got["query_id"] >= 2000].sort_values(["query_id", "rank"])[["query_id", "vec_id", "score"]].to_numpy()] == [(2000, 2020, 3.0), (2000, 2021, 3.0), (2020, 2000, 3.0), (2020, 2021, 3.0)]
+    assert ann.search(df, df.limit(0), 5).count() == 0
+
+
+def test_urls_ties_and_large_rule_sets(spark, monkeypatch):
+    """Equal rules, rules met by shuffle, a very common url, null and empty ones, an empty table."""
+    rules = spark.createDataFrame([("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("a.com", "/", "allow"), ("com", "/", "allow"), ("", "/", "block"), ("b.com", None, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, "http://a.com/xyz") for i in range(40)] + [(100, None), (101, ""), (102, "://"), (103, "http://q.a.com/y"), (104, "ftp://b.com"), (105, "http://ba.com/x" + "z" * 50_000)], "page_id long, url string")
+    want = [(i, "a.com", "a.com/x", "block") for i in range(40)] + [(100, "", None, "allow"), (101, "", None, "allow"), (102, "", None, "allow"), (103, "q.a.com", "a.com/", "allow"), (104, "b.com", "b.com", "block"), (105, "ba.com", "com/", "allow")]
+    for rows in (50_000, 0):
+        monkeypatch.setattr(urls, "BROADCAST_ROWS", rows)
+        assert sorted((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urls.judge_urls(pages, rules).collect()) == want
+    assert urls.judge_urls(pages.limit(0), rules).count() == 0 and {r["verdict"] for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_langid_awkward_rows(spark):
+    """Against a plain count of n-grams in sets; long, empty and letterless texts, ties, null ids and languages, clashing columns, an empty table."""
+    r = random.Random(18)
+    german = "der hund lief über straße und brücke durch nacht am alten fluss".split()
+    rows = [(i, " ".join(r.choices(WORDS, k=20)), "en") for i in range(200)] + [(300 + i, " ".join(r.choices(german, k=20)), "de") for i in range(200)]
+    rows += [(900, None, "en"), (901, "", "de"), (902, "12 . 34", None), (903, " ".join(german * 4000), None), (None, " ".join(german), None), (904, "ωψξ", None), (5, rows[5][1], "en")]
+    df = spark.createDataFrame([(*x, 1.5, "x") for x in rows], "doc_id long, text string, lang string, score double, gram string").repartition(3)
+    model = langid.fit(df)
+    got = langid.predict(df, model).collect()
+    at = {q["doc_id"]: (q["lang_pred"], q["score"]) for q in got}
+    assert len(got) == len(rows) and all(at[d][0] == lang for d, t, lang in rows if lang and t and d is not None)
+    assert at[900] == at[901] == at[902] == ("und", 0.0) and at[903][0] == "de" and at[None][0] == "de" and at[904] == ("de", 0.0)
+    # the filters hold what plain counting holds, and little else
+    from collections import Counter
+
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    assert all(q["held_out"] == held(q["doc_id"]) for q in got)
+    drawn = [tuple(q) for q in langid._drawn(df, 4, 2, langid.SAMPLE_ROWS).filter("not held_back").select("text", "lang").collect()]
+    counts = {lang: Counter(g for t, own in drawn if own == lang and t for w in t.split() for g in langid.grams(w)) for lang in ("de", "en")}
+    counts = {lang: Counter({g: n for g, n in c.items() if n >= langid.LEAST}) for lang, c in counts.items()}
+    freq = lambda lang, g: counts[lang][g] / sum(counts[lang].values())
+    masks = langid.GramMasks(model)
+    for bit, lang in enumerate(model.languages):
+        taken = {g for g, n in counts[lang].items() if n >= langid.LEAST and freq(lang, g) >= langid.SHARE * max(freq("de", g), freq("en", g))}
+        assert all(masks[g] >> 32 * (bit + 1) & 1 for g in taken)
+        others = [g for c in counts.values() for g in c if g not in taken]
+        assert sum(masks[g] >> 32 * (bit + 1) & 1 for g in others) <= 0.05 * len(others)
+    assert langid.predict(df.limit(0), model).count() == 0 and langid.fit(df.limit(0)).languages == []
+    assert langid.fit(df, keep=5).table.any() and langid.accepted(df, model).columns == df.columns
