@@ -12,7 +12,11 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 
 
 def per_worker(key: tuple, make):
-    """make(), kept while the same Python worker runs task after task of the same kind; only the latest kind is kept."""
+    """make(), kept while the same Python worker runs task after task of the same kind; only the latest kind is kept.
+
+    The holder hangs on a module that every worker has installed: this package travels by value, so each task's functions come with
+    modules of their own, whose variables the next task does not see.
+    """
     import pyspark
 
     kept = pyspark.__dict__.setdefault("_orecart_kept", {})
