@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orecart.llm.common import Scratch, connected_components, lowered_words, per_worker, streamed
@@ -199,7 +199,9 @@ def _components(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> t
     a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("regs").alias(f"{c}_regs")) for c in ("a", "b"))
     likely = scratch.write(_likely(star.join(a, "a").join(b, "b"), ratio), "likely")
     wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct()
-    sets = scratch.write(_sets(wanted.join(digests, "cid"), texts, size), "sets-star")
+    # what is wanted is written first: Spark then knows its size, and moves the texts only if it is too large to be sent to them
+    wanted = scratch.write(wanted.join(digests, "cid"), "wanted-star")
+    sets = scratch.write(_sets(wanted, texts, size), "sets-star")
     links = scratch.write(_confirmed(likely, sets, percent), "links-star")
     parts = scratch.write(connected_components(links, scratch, "star"), "parts-star").select(F.col("node").alias("cid"), F.col("component").alias("part"))
 
@@ -210,10 +212,11 @@ def _components(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> t
     apart = now.join(open_, "bucket").filter("cid <> p_cid").join(classes.select("cid", "regs"), "cid")
     flagged = scratch.write(_flagged(apart, ratio, percent), "flagged")
     wanted = flagged.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti")
-    sets = sets.unionByName(scratch.write(_sets(wanted.join(digests, "cid"), texts, size), "sets-apart"))
+    wanted = scratch.write(wanted.join(digests, "cid"), "wanted-apart")
+    sets = sets.unionByName(scratch.write(_sets(wanted, texts, size), "sets-apart"))
     joins = scratch.write(_joins(flagged, sets, percent), "links-apart")
     whole = scratch.write(connected_components(joins, scratch, "apart"), "parts-apart").select(F.col("node").alias("part"), F.col("component").alias("joined"))
-    for name in ("active", "likely", "sets-star", "flagged", "sets-apart"):
+    for name in ("active", "likely", "wanted-star", "sets-star", "flagged", "wanted-apart", "sets-apart"):
         scratch.drop(name)
     at = classes.select("cid", "doc", F.col("n").alias("n_shingles"), "d1", "d2").join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     return all_, at.join(whole, "part", "left").select("n_shingles", "d1", "d2", "doc", F.coalesce("joined", "part").alias("component"))
@@ -245,10 +248,12 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scra
     rows = all_.filter("doc_id is not null").join(classes.drop("doc"), ["n_shingles", "d1", "d2"], "left").groupBy("doc_id", F.coalesce("md5", F.lit("")).alias("md5")).agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("times"))
     first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "md5")).alias("f")).select("component", "f.*").withColumn("first", F.lit(True))
     gone = F.col("component").isNotNull() & F.col("first").isNull()
-    marked = rows.join(first, ["component", "doc_id", "md5"], "left").filter(gone | (F.col("times") > 1))
-    # ids and digests only: the texts are read once more and move at most once
-    marks = scratch.write(marked.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), gone.alias("_gone")), "marks")
-    met = (F.col("doc_id").cast("long") == F.col("_id")) & (F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")) == F.col("_md5"))
+    # narrow rows: an id that has one text needs no digest. The texts are read once more and move at most once
+    texts_of = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    marked = rows.withColumn("several_texts", texts_of > 1).join(first, ["component", "doc_id", "md5"], "left").filter(gone | (F.col("times") > 1))
+    marks = scratch.write(marked.select(F.col("doc_id").alias("_id"), F.when(F.col("several_texts"), F.col("md5")).alias("_md5"), gone.alias("_gone")), "marks")
+    same = F.col("_md5").isNull() | (F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")) == F.col("_md5"))
+    met = (F.col("doc_id").cast("long") == F.col("_id")) & same
     out, several = docs.join(marks, met, "left_anti"), marks.filter("not _gone")
     if several.limit(1).count():
         out = out.unionByName(docs.join(several, met).dropDuplicates(["_id", "_md5"]).select(*[docs[c] for c in docs.columns]))
