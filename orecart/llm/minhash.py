@@ -199,7 +199,6 @@ def _components(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> t
     a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("regs").alias(f"{c}_regs")) for c in ("a", "b"))
     likely = scratch.write(_likely(star.join(a, "a").join(b, "b"), ratio), "likely")
     wanted = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).distinct()
-    # what is wanted is written first: Spark then knows its size, and moves the texts only if it is too large to be sent to them
     wanted = scratch.write(wanted.join(digests, "cid"), "wanted-star")
     sets = scratch.write(_sets(wanted, texts, size), "sets-star")
     links = scratch.write(_confirmed(likely, sets, percent), "links-star")
@@ -254,9 +253,10 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scra
     marks = scratch.write(marked.select(F.col("doc_id").alias("_id"), F.when(F.col("several_texts"), F.col("md5")).alias("_md5"), gone.alias("_gone")), "marks")
     same = F.col("_md5").isNull() | (F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")) == F.col("_md5"))
     met = (F.col("doc_id").cast("long") == F.col("_id")) & same
-    out, several = docs.join(marks, met, "left_anti"), marks.filter("not _gone")
+    # marks grow with the corpus, so both sides move, at any size
+    out, several = docs.join(marks.hint("merge"), met, "left_anti"), marks.filter("not _gone")
     if several.limit(1).count():
-        out = out.unionByName(docs.join(several, met).dropDuplicates(["_id", "_md5"]).select(*[docs[c] for c in docs.columns]))
+        out = out.unionByName(docs.join(several.hint("merge"), met).dropDuplicates(["_id", "_md5"]).select(*[docs[c] for c in docs.columns]))
     return out
 
 
@@ -273,7 +273,8 @@ def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     rows.append((cid, s.tobytes()))
             yield pd.DataFrame(rows, columns=["cid", "shingles"])
 
-    return texts.join(wanted, "doc").dropDuplicates(["cid", "data"]).mapInPandas(run, "cid long, shingles binary")
+    # as many as there are copies in the corpus, so never sent to every task: both sides move, at any size
+    return texts.join(wanted.hint("merge"), "doc").dropDuplicates(["cid", "data"]).mapInPandas(run, "cid long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
