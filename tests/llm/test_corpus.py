@@ -631,3 +631,12 @@ def test_langid_awkward_rows(spark):
         assert sum(masks[g] >> 32 * (bit + 1) & 1 for g in others) <= 0.05 * len(others)
     assert langid.predict(df.limit(0), model).count() == 0 and langid.fit(df.limit(0)).languages == []
     assert langid.fit(df, keep=5).table.any() and langid.accepted(df, model).columns == df.columns
+
+
+def test_langid_learns_from_all_rows(spark):
+    """Without a number of rows all training rows are counted or held back, also those of a large language, and what few rows hold is learned."""
+    rows = [(i, "of the and" if i % 1500 else "zqx zqx zqx zqx", "en") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert langid._drawn(df, 4, 2, langid.SAMPLE_ROWS).count() == len(train)
+    assert langid.GramMasks(langid.fit(df))["zqx"] >> 32 & 1
